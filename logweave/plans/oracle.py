@@ -342,5 +342,5 @@ GROUP BY host, file_no"""),
     "build_log_archive": with_ctes(["rotated"], f"SELECT {KEY}, file_no, rotation, line FROM rotated"),
     "write_log_files": with_ctes(["rotated"], "SELECT host, file_no, line FROM rotated"),
     "stream_records": with_ctes(["raw_kernel"], "SELECT host, arrival, raw FROM raw_kernel"),
-    "stream_log_archive": with_ctes(["rotated"], f"SELECT {KEY}, file_no, rotation, line FROM rotated"),
+    "stream_log_archive": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated"),
 }

@@ -252,7 +252,7 @@ def q_stream_records(spark, sf):
 def q_stream_log_archive(spark, sf):
     from ..streaming.archive import stream_archive_once
     v = _views(spark, sf)
-    return stream_archive_once(spark, v).select(*KEY, "file_no", "rotation", "line")
+    return stream_archive_once(spark, v).select("host", "file_no", "rotation", "line")
 
 
 QUERIES: dict[str, Query] = {
