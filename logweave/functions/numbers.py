@@ -36,21 +36,33 @@ def unsigned_field_ok(text: Column, max_chars: int) -> Column:
 
 def unsigned_field_value(text: Column) -> Column:
     """The ``unsigned long`` value of a field accepted by
-    :func:`unsigned_field_ok`, as ``DECIMAL(20,0)``; null otherwise."""
-    magnitude = F.regexp_extract(text, "([0-9]+)$", 1).try_cast("decimal(38,0)")
-    value = (
+    :func:`unsigned_field_ok`, as ``DECIMAL(20,0)``; null otherwise.
+    Up to 18 digits without a minus sign (every real kernel number) stay on
+    64-bit integers; only longer or negative ones take the decimal path."""
+    digits = F.regexp_extract(text, "([0-9]+)$", 1)
+    negative = text.contains("-")
+    magnitude = digits.try_cast("decimal(38,0)")
+    wide = (
         F.when(magnitude > _dec(ULONG_MAX), _dec(ULONG_MAX))
-        .when(text.contains("-") & (magnitude > 0), _dec(ULONG_MAX + 1) - magnitude)
+        .when(negative & (magnitude > 0), _dec(ULONG_MAX + 1) - magnitude)
         .otherwise(magnitude)
     )
-    return value.cast("decimal(20,0)")
+    fast = (F.char_length(digits) <= 18) & ~negative
+    return F.when(fast, digits.try_cast("bigint").cast("decimal(20,0)")).otherwise(
+        wide.cast("decimal(20,0)"))
+
+
+def int_div(a: Column, b: int | Column) -> Column:
+    """SQL ``div``: integral quotient, truncated toward zero."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
 
 
 def micros_to_sec(micros: Column) -> Column:
-    """Whole seconds of a microsecond count (floor), exact for 20 digits."""
-    return F.floor(micros.cast("decimal(20,0)") / F.lit(1000000)).cast("bigint")
+    """Whole seconds of a non-negative microsecond count (64-bit, or a
+    ``DECIMAL(20,0)`` up to 2^64 - 1)."""
+    return int_div(micros, 1000000).cast("bigint")
 
 
 def micros_to_nsec(micros: Column) -> Column:
-    """Nanoseconds within the second of a microsecond count."""
-    return (F.pmod(micros.cast("decimal(20,0)"), F.lit(1000000)) * 1000).cast("int")
+    """Nanoseconds within the second of a non-negative microsecond count."""
+    return (F.pmod(micros, F.lit(1000000)) * 1000).cast("int")

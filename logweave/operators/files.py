@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FILE_SIZE_MAX, TIME_ORDER
-from ..session import bounded_broadcast
+from ..session import small_side
 from .order import with_source_rank
 
 
@@ -48,17 +48,21 @@ def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:
             .where(F.col("cum_bytes") <= max_bytes))
 
 
-def keep_rotations(df: DataFrame, max_rot: int | str = 2) -> DataFrame:
+def keep_rotations(df: DataFrame, max_rot: int | str = 2,
+                   newest: DataFrame | None = None) -> DataFrame:
     """Adds ``rotation`` (0 = newest file of the host, 1 = the one before,
     ...) and keeps the lines of the ``max_rot`` newest files. ``max_rot`` is
     a number or the name of a column holding it per row.
 
-    The newest file number per host is a grouped max (one row per host),
-    joined back; the lines are never gathered per host.
+    ``newest`` (``host, newest``) is the newest file number per host when
+    the caller knows it (the packing does); otherwise it is a grouped max
+    over ``df`` (partial aggregation, one row per host and task), stored
+    before it is broadcast. The lines are never gathered per host.
     """
-    newest = df.groupBy("host").agg(F.max("file_no").alias("_newest"))
-    out = df.join(bounded_broadcast(newest), "host").withColumn(
-        "rotation", (F.col("_newest") - F.col("file_no")).cast("bigint")).drop("_newest")
+    if newest is None:
+        newest = df.groupBy("host").agg(F.max("file_no").alias("newest"))
+    out = df.join(small_side(newest.select("host", F.col("newest").alias("_newest"))), "host")
+    out = out.withColumn("rotation", (F.col("_newest") - F.col("file_no")).cast("bigint")).drop("_newest")
     limit = F.col(max_rot) if isinstance(max_rot, str) else F.lit(max_rot)
     return out.where(F.col("rotation") < limit)
 

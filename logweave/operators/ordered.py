@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bounded_broadcast, cut_lineage
+from ..session import cut_lineage, small_side
 
 CHUNK = "_chunk"
 ROW_ID = "_row_id"
@@ -61,7 +61,7 @@ def number_within(df: DataFrame, keys: list[str], order: list[str], name: str =
     unique column). No group is ever gathered in one task."""
     chunks = ordered_chunks(df, keys, order, num_chunks, row_ids=True)
     offsets = chunk_offsets(chunks, keys)
-    joined = chunks.join(bounded_broadcast(offsets), [*keys, CHUNK])
+    joined = chunks.join(small_side(offsets), [*keys, CHUNK])
     pos = F.col("_rows_before") + (F.col(ROW_ID) - F.col("_first_id")) + 1
     return joined.withColumn(name, pos.cast("bigint")).drop(
         CHUNK, ROW_ID, "_rows_before", "_first_id")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FILE_SIZE_DEFAULT, ROTATE_FREE_MIN, ROTATIONS_DEFAULT, TIME_ORDER
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, small_side
 from .order import with_source_rank
 from .ordered import CHUNK, ordered_chunks
 
@@ -152,6 +152,7 @@ _ENTRY_SCHEMA = T.StructType([
     T.StructField(CHUNK, T.IntegerType()),
     T.StructField(ENTRY_FILE, T.LongType()),
     T.StructField(ENTRY_USED, T.LongType()),
+    T.StructField("_exit_file", T.LongType()),
 ])
 
 
@@ -207,7 +208,7 @@ def _chain_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for h, chunk, total, t, exit_used, files, start_file, start_used in zip(*cols):
             if h != host:
                 host, file_no, used = h, int(start_file), int(start_used)
-            rows.append((host, int(chunk), file_no, used))
+            entry_file, entry_used = file_no, used
             t = np.asarray(t if t is not None else [], dtype=np.int64)
             k = int(_first_rotation(t, used)) if len(t) else 0
             if len(t) and k < len(t):
@@ -215,6 +216,7 @@ def _chain_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 used = int(exit_used[k])
             else:
                 used += int(total)
+            rows.append((host, int(chunk), entry_file, entry_used, file_no))
         if rows:
             yield pd.DataFrame(rows, columns=_ENTRY_SCHEMA.names)
 
@@ -234,7 +236,7 @@ def _number_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 key, file_no, used = k, int(row[ENTRY_FILE]), int(row[ENTRY_USED])
             numbers[lo:hi], file_no, used = _number_run(
                 lengths[lo:hi], int(row[SIZE]), bool(row[UNLIMITED]), file_no, used)
-        yield pdf.drop(columns=[ENTRY_FILE, ENTRY_USED]).assign(file_no=numbers)
+        yield pdf.drop(columns=[ENTRY_FILE, ENTRY_USED, "_exit_file"]).assign(file_no=numbers)
 
 
 def _with_sizes(lines: DataFrame, sizes: DataFrame | None, max_size: int,
@@ -250,21 +252,13 @@ def _with_sizes(lines: DataFrame, sizes: DataFrame | None, max_size: int,
     }).drop("_fs", "_mr")
 
 
-def assign_log_files(lines: DataFrame, sizes: DataFrame | None = None,
-                     state: DataFrame | None = None,
-                     max_size: int = FILE_SIZE_DEFAULT, max_rot: int = ROTATIONS_DEFAULT,
-                     num_chunks: int | None = None) -> DataFrame:
-    """Adds ``file_no`` to every line: the number of the file the line is
-    written to, counting up from the host's start state.
-
-    ``lines`` needs ``host``, the time order columns and ``line_bytes``.
-    ``sizes`` (optional): per host ``file_size`` and ``max_rot``, for
-    instance :func:`~logweave.operators.files.effective_file_size`; hosts
-    without a row use ``max_size`` / ``max_rot``. ``state`` (optional): per
-    host the current file's ``file_no`` and ``bytes`` from an earlier run
-    (:func:`~logweave.operators.files.manifest_state`); without it a host
-    starts with an empty file 0.
-    """
+def pack_log_files(lines: DataFrame, sizes: DataFrame | None = None,
+                   state: DataFrame | None = None,
+                   max_size: int = FILE_SIZE_DEFAULT, max_rot: int = ROTATIONS_DEFAULT,
+                   num_chunks: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """:func:`assign_log_files`, plus per host the number of its newest file
+    (``host, newest``), read off the chunk table without another pass over
+    the lines."""
     cols = list(dict.fromkeys([*lines.columns, "source_rank"]))
     prepared = _with_sizes(with_source_rank(lines), sizes, max_size, max_rot)
     chunks = ordered_chunks(prepared, ["host"], TIME_ORDER, num_chunks)
@@ -279,13 +273,32 @@ def assign_log_files(lines: DataFrame, sizes: DataFrame | None = None,
                           F.col("bytes").cast("bigint").alias("start_used"))
         summaries = summaries.join(bounded_broadcast(st), "host", "left").fillna(
             0, ["start_file", "start_used"])
-    entries = (summaries.repartition("host").sortWithinPartitions("host", CHUNK)
-               .mapInPandas(_chain_chunks, _ENTRY_SCHEMA))
+    entries = small_side(summaries.repartition("host").sortWithinPartitions("host", CHUNK)
+                         .mapInPandas(_chain_chunks, _ENTRY_SCHEMA))
+    newest = entries.groupBy("host").agg(F.max("_exit_file").alias("newest"))
 
-    located = (chunks.join(bounded_broadcast(entries), ["host", CHUNK])
+    located = (chunks.join(entries, ["host", CHUNK])
                .sortWithinPartitions("host", *TIME_ORDER))
     out_schema = T.StructType([f for f in located.schema.fields
-                               if f.name not in (ENTRY_FILE, ENTRY_USED)]
+                               if f.name not in (ENTRY_FILE, ENTRY_USED, "_exit_file")]
                               + [T.StructField("file_no", T.LongType())])
     numbered = located.mapInPandas(_number_chunks, out_schema)
-    return numbered.select(*cols, "file_no")
+    return numbered.select(*cols, "file_no"), newest
+
+
+def assign_log_files(lines: DataFrame, sizes: DataFrame | None = None,
+                     state: DataFrame | None = None,
+                     max_size: int = FILE_SIZE_DEFAULT, max_rot: int = ROTATIONS_DEFAULT,
+                     num_chunks: int | None = None) -> DataFrame:
+    """Adds ``file_no`` to every line: the number of the file the line is
+    written to, counting up from the host's start state.
+
+    ``lines`` needs ``host``, the time order columns and ``line_bytes``.
+    ``sizes`` (optional): per host ``file_size`` and ``max_rot``, for
+    instance :func:`~logweave.operators.files.effective_file_size`; hosts
+    without a row use ``max_size`` / ``max_rot``. ``state`` (optional): per
+    host the current file's ``file_no`` and ``bytes`` from an earlier run
+    (:func:`~logweave.operators.files.manifest_state`); without it a host
+    starts with an empty file 0.
+    """
+    return pack_log_files(lines, sizes, state, max_size, max_rot, num_chunks)[0]

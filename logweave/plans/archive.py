@@ -21,7 +21,7 @@ from ..operators.cursor import advance_cursor, after_cursor
 from ..operators.files import effective_file_size, file_manifest, keep_rotations
 from ..operators.lines import format_lines
 from ..operators.order import drop_duplicates, merge_sources
-from ..operators.packing import assign_log_files
+from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
 from ..schema import LOG_COLUMNS, PAYLOAD_MAX_BYTES, ROTATIONS_DEFAULT
@@ -77,10 +77,11 @@ def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None
     lines = archive_lines(parsed, clocks, cursor, dedupe)
     sizes = effective_file_size(volume)
     printable = lines.where(F.col("line").isNotNull())
-    packed = assign_log_files(printable, sizes=sizes, state=state, num_chunks=num_chunks)
+    packed, newest = pack_log_files(printable, sizes=sizes, state=state, num_chunks=num_chunks)
     rot = bounded_broadcast(sizes.select("host", F.col("max_rot").alias("_max_rot")))
     kept = keep_rotations(packed.join(rot, "host", "left")
-                          .fillna({"_max_rot": ROTATIONS_DEFAULT}), "_max_rot").drop("_max_rot")
+                          .fillna({"_max_rot": ROTATIONS_DEFAULT}), "_max_rot",
+                          newest=newest).drop("_max_rot")
     quarantine = merge_sources(
         parsed.where(F.col(REASON).isNotNull()).select("host", "source", "arrival", REASON),
         lines.where(F.col("line").isNull()).select(

@@ -17,11 +17,10 @@ from ..operators.clock import boot_offsets, clamp_future, to_wall_clock
 from ..operators.cursor import advance_cursor, after_cursor, sequence_gaps
 from ..operators.files import (effective_file_size, file_manifest, keep_rotations,
                                take_by_bytes)
-from ..operators.lines import format_lines
 from ..operators.order import drop_duplicates, merge_sources, number_lines
-from ..operators.packing import assign_log_files
-from ..operators.parse import (parse_kernel, parse_kernel_log, parse_queue, parse_queue_log,
-                               parse_syslog, parse_syslog_log, split_priority)
+from ..operators.packing import assign_log_files, pack_log_files
+from ..operators.parse import (parse_kernel_log, parse_queue_log, parse_syslog_log,
+                               split_priority)
 from ..operators.quality import (count_rejects, drop_malformed, quarantine_malformed,
                                  severity_at_most)
 from ..functions.priority import format_priority as format_priority_col
@@ -219,8 +218,11 @@ def q_assign_log_files(spark, sf):
 
 def q_keep_rotations(spark, sf):
     v = _views(spark, sf)
-    sizes = effective_file_size(v["volume"]).select("host", "max_rot")
-    kept = keep_rotations(_packed(spark, sf).join(sizes, "host", "left"), "max_rot")
+    sizes = effective_file_size(v["volume"])
+    lines = _lines(spark, sf).where(F.col("line").isNotNull())
+    packed, newest = pack_log_files(lines, sizes=sizes)
+    kept = keep_rotations(packed.join(sizes.select("host", "max_rot"), "host", "left"), "max_rot",
+                          newest=newest)
     return kept.select(*KEY, "file_no", "rotation")
 
 

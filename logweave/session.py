@@ -84,10 +84,31 @@ def bounded_broadcast(side: DataFrame, max_rows: int | None = None) -> DataFrame
     is returned unhinted and the planner falls back to a shuffle join (which
     adaptive execution may still turn into a broadcast at run time).
     """
+    if getattr(side, "_logweave_checked", False):
+        return side
     limit = broadcast_max_rows(side.sparkSession) if max_rows is None else max_rows
-    if side.limit(limit + 1).count() <= limit:
-        return F.broadcast(side)
-    return side
+    out = F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
+    out._logweave_checked = True
+    return out
+
+
+def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """A table derived from large data but small itself (one row per host or
+    per chunk): materialised in the checkpoint folder first, so that the size
+    check and the join read the stored rows instead of running the upstream
+    plan twice, then broadcast when it is within the bound."""
+    return bounded_broadcast(cut_lineage(df), max_rows)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` spread round-robin over the default parallelism when its scan
+    has fewer partitions than that (a small table in one file and one row
+    group is read by one task). A large input has enough splits already and
+    is returned as it is, with no shuffle."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
 
 
 def env_int(name: str, default: int) -> int:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 # Fixed capture rules: 8 hosts; the kernel time origin 2024-01-01T00:00:00Z
 # in microseconds; the boot clock sits 15 days (1296000 s) after it.
 HOSTS = 8
@@ -26,8 +28,9 @@ KERNEL_EPOCH_US = 1704067200000000
 BOOT_SPAN_US = 1296000000000
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def _table(spark: SparkSession, sf_dir: str, name: str, spread_rows: bool = True) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df) if spread_rows else df
 
 
 def _s(col: Column) -> Column:
@@ -116,7 +119,7 @@ def raw_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation").where(F.col("n_nationkey") < HOSTS)
+    return _table(spark, sf_dir, "nation", spread_rows=False).where(F.col("n_nationkey") < HOSTS)
 
 
 def boot_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
