@@ -19,6 +19,7 @@ from ..schema import ULONG_MAX
 # White space as C ``isspace`` knows it; \x0b is written out since Java reads
 # \v as a character class.
 SPACE_CLASS = r"[ \t\n\x0b\f\r]"
+SPACE_CHARS = (" ", "\t", "\n", "\x0b", "\f", "\r")
 UNSIGNED_FIELD = "^" + SPACE_CLASS + r"*([+-]?)([0-9]+)$"
 
 
@@ -52,6 +53,22 @@ def unsigned_field_value(text: Column) -> Column:
         wide.cast("decimal(20,0)"))
 
 
+def unsigned_magnitude(text: Column) -> Column:
+    """Digits of a ``strtoul`` field as ``DECIMAL(38,0)`` (no sign)."""
+    return F.regexp_extract(text, "([0-9]+)$", 1).try_cast("decimal(38,0)")
+
+
+def unsigned_wrap(magnitude: Column, negative: Column) -> Column:
+    """``strtoul`` result from magnitude and sign: saturate past 2^64 - 1,
+    wrap a minus modulo 2^64. Pass column references (the magnitude is used
+    three times)."""
+    return (
+        F.when(magnitude > _dec(ULONG_MAX), _dec(ULONG_MAX))
+        .when(negative & (magnitude > 0), _dec(ULONG_MAX + 1) - magnitude)
+        .otherwise(magnitude)
+    ).cast("decimal(20,0)")
+
+
 def int_div(a: Column, b: int | Column) -> Column:
     """SQL ``div``: integral quotient, truncated toward zero."""
     return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))

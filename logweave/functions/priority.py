@@ -18,8 +18,9 @@ def priority_ok(text: Column) -> Column:
 
 
 def priority_value(text: Column) -> Column:
-    """Value of a priority accepted by :func:`priority_ok` (null otherwise)."""
-    return F.when(priority_ok(text), F.regexp_extract(text, "([0-9]+)$", 1).try_cast("int"))
+    """Value of a priority accepted by :func:`priority_ok` (null otherwise);
+    an accepted field is blanks, a sign and digits, which a cast reads."""
+    return F.when(priority_ok(text), text.try_cast("int"))
 
 
 def facility_of(prio: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import micros_to_nsec, micros_to_sec
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, same_size
 
 LONG_MAX = 9223372036854775807
 NSEC = 1000000000
@@ -17,15 +17,17 @@ def boot_offsets(clocks: DataFrame) -> DataFrame:
     """Per host the wall-clock time of boot, ``real - since boot``, as
     ``off_sec`` and ``off_nsec`` (``host, off_sec, off_nsec``)."""
     off = F.col("real_now_us") - F.col("boot_now_us")
-    return clocks.select("host", micros_to_sec(off).alias("off_sec"),
-                         micros_to_nsec(off).alias("off_nsec"))
+    return same_size(clocks, clocks.select("host", micros_to_sec(off).alias("off_sec"),
+                                           micros_to_nsec(off).alias("off_nsec")))
 
 
 def clamp_future(df: DataFrame, clocks: DataFrame) -> DataFrame:
     """Kernel rows stamped later than the host's time since boot get that
     time; other rows and hosts without a clock are left as they are."""
-    now = clocks.select("host", micros_to_sec(F.col("boot_now_us")).alias("_now_sec"),
-                        micros_to_nsec(F.col("boot_now_us")).alias("_now_nsec"))
+    checked = bounded_broadcast(clocks)
+    now = same_size(clocks, checked.select(
+        "host", micros_to_sec(F.col("boot_now_us")).alias("_now_sec"),
+        micros_to_nsec(F.col("boot_now_us")).alias("_now_nsec")))
     j = df.join(bounded_broadcast(now), "host", "left")
     sec, nsec = F.col("tstamp_sec"), F.col("tstamp_nsec")
     later = ((F.col("source") == "kernel") & F.col("_now_sec").isNotNull()
@@ -41,7 +43,8 @@ def clamp_future(df: DataFrame, clocks: DataFrame) -> DataFrame:
 def to_wall_clock(df: DataFrame, offsets: DataFrame) -> DataFrame:
     """Boot-relative time plus the host's boot offset (0 for a host without
     one); a second past the 64-bit range is clamped to its end."""
-    j = df.join(bounded_broadcast(offsets.select("host", "off_sec", "off_nsec")), "host", "left")
+    offsets = bounded_broadcast(offsets)
+    j = df.join(same_size(offsets, offsets.select("host", "off_sec", "off_nsec")), "host", "left")
     off_sec = F.coalesce(F.col("off_sec"), F.lit(0).cast("bigint"))
     off_nsec = F.coalesce(F.col("off_nsec"), F.lit(0))
     nsum = F.col("tstamp_nsec").cast("bigint") + off_nsec

@@ -17,10 +17,9 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import (SPACE_CLASS, micros_to_nsec, micros_to_sec,
-                                 unsigned_field_ok, unsigned_field_value)
-from ..functions.priority import (facility_of, priority_ok, priority_value,
-                                  severity_of)
+from ..functions.numbers import (SPACE_CHARS, SPACE_CLASS, micros_to_nsec, micros_to_sec,
+                                 unsigned_field_ok, unsigned_magnitude, unsigned_wrap)
+from ..functions.priority import facility_of, priority_ok, priority_value, severity_of
 from ..functions.text import bytes_after, cut_bytes, first_line, octets
 from ..schema import KERNEL_PID, KERNEL_TAG, KMSG_NUM_MAX_CHARS, LOG_COLUMNS
 
@@ -59,62 +58,74 @@ def _finish(df: DataFrame, cols: dict[str, Column], reason: Column,
                        F.count(F.col(REASON)).alias("rejects"))
 
 
+def _plain_number(text: Column) -> Column:
+    """A field of at most 18 characters without a minus: its value fits a
+    64-bit integer and a cast reads it as ``strtoul`` does."""
+    return ~text.contains("-") & (F.char_length(text) <= 18)
+
+
 def parse_kernel(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Kernel records (``host, arrival, raw``) to log rows with ``reason``.
 
     Record form: ``PRIO,SEQNO,USEC,FLAGS[,MORE...];BODY\\n[ KEY=value\\n...]``.
     Tag ``kernel``, pid 0. Later lines of the record are dropped.
+
+    Three stacked projections: split the record once; check the rules and
+    read the numbers (a plain cast; the exact unsigned path only for the
+    rare negative or 19-20 digit fields, inside a condition); assemble the
+    row. Each expensive piece appears once, so the optimizer neither
+    repeats it nor hoists it out of its condition.
     """
     r = F.col("raw")
-    split = raw.select(
-        "*",
-        F.split(r, ",", 4).alias("_f"),
-        r.rlike("^" + SPACE_CLASS).alias("_blank"),
-    )
     f = F.col("_f")
     n = F.size(f)
-    prio_t = F.try_element_at(f, F.lit(1))
-    seq_t = F.try_element_at(f, F.lit(2))
-    time_t = F.try_element_at(f, F.lit(3))
-    rest = F.try_element_at(f, F.lit(4))
+    split = raw.select("*", F.split(r, ",", 4).alias("_f"))
+    fields = split.select(
+        "*",
+        F.try_element_at(f, F.lit(1)).alias("_pt"),
+        F.try_element_at(f, F.lit(2)).alias("_st"),
+        F.try_element_at(f, F.lit(3)).alias("_tt"),
+        F.try_element_at(f, F.lit(4)).alias("_rest"),
+    )
+    pt, st, tt, rest = F.col("_pt"), F.col("_st"), F.col("_tt"), F.col("_rest")
     semi = F.instr(rest, ";")
     after = F.substring(rest, semi + 1, 2147483647)
-    newline = F.instr(after, "\n")
-    staged = split.select(
+    checked = fields.select(
         "*",
-        ((n >= 2) & priority_ok(prio_t)).alias("_prio_ok"),
-        priority_value(prio_t).alias("_prio"),
-        ((n >= 3) & unsigned_field_ok(seq_t, KMSG_NUM_MAX_CHARS)).alias("_seq_ok"),
-        ((n >= 4) & unsigned_field_ok(time_t, KMSG_NUM_MAX_CHARS)).alias("_time_ok"),
-        unsigned_field_value(seq_t).alias("_seq"),
-        unsigned_field_value(time_t).alias("_usec"),
-        F.coalesce(semi > 1, F.lit(False)).alias("_head_ok"),
-        F.coalesce(newline > 1, F.lit(False)).alias("_body_ok"),
-        F.substring(after, F.lit(1), newline - 1).alias("_body"),
+        _first_failure([
+            ("blank_start", F.substring(r, 1, 1).isin(*SPACE_CHARS)),
+            ("bad_priority", ~((n >= 2) & priority_ok(pt))),
+            ("bad_seqno", ~((n >= 3) & unsigned_field_ok(st, KMSG_NUM_MAX_CHARS))),
+            ("bad_time", ~((n >= 4) & unsigned_field_ok(tt, KMSG_NUM_MAX_CHARS))),
+            ("no_header_end", ~F.coalesce(semi > 1, F.lit(False))),
+            ("no_body", ~F.coalesce(F.instr(after, "\n") > 1, F.lit(False))),
+        ]).alias("_reason"),
+        pt.try_cast("int").alias("_prio"),
+        F.when(_plain_number(st), st.try_cast("bigint")).alias("_seq_l"),
+        F.when(~_plain_number(st), unsigned_magnitude(st)).alias("_seq_m"),
+        F.when(_plain_number(tt), tt.try_cast("bigint")).alias("_usec_l"),
+        F.when(~_plain_number(tt), unsigned_magnitude(tt)).alias("_usec_m"),
+        first_line(after).alias("_body"),
     )
-    reason = _first_failure([
-        ("blank_start", F.col("_blank")),
-        ("bad_priority", ~F.col("_prio_ok")),
-        ("bad_seqno", ~F.col("_seq_ok")),
-        ("bad_time", ~F.col("_time_ok")),
-        ("no_header_end", ~F.col("_head_ok")),
-        ("no_body", ~F.col("_body_ok")),
-    ])
+    seq = F.coalesce(F.col("_seq_l").cast("decimal(20,0)"),
+                     unsigned_wrap(F.col("_seq_m"), st.contains("-")))
+    usec_m = unsigned_wrap(F.col("_usec_m"), tt.contains("-"))
+    usec_l = F.col("_usec_l")
     prio = F.col("_prio")
     cols = {
         "host": F.col("host"),
         "source": F.lit("kernel"),
         "arrival": F.col("arrival"),
-        "tstamp_sec": micros_to_sec(F.col("_usec")),
-        "tstamp_nsec": micros_to_nsec(F.col("_usec")),
+        "tstamp_sec": F.coalesce(micros_to_sec(usec_l), micros_to_sec(usec_m)),
+        "tstamp_nsec": F.coalesce(micros_to_nsec(usec_l), micros_to_nsec(usec_m)),
         "facility": facility_of(prio),
         "severity": severity_of(prio),
         "tag": F.lit(KERNEL_TAG),
         "pid": F.lit(KERNEL_PID),
-        "seqno": F.col("_seq"),
+        "seqno": seq,
         "body": F.col("_body"),
     }
-    return _finish(staged, cols, reason, keep, "kernel")
+    return _finish(checked, cols, F.col("_reason"), keep, "kernel")
 
 
 def parse_syslog(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:

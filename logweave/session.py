@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,9 +68,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable, eager)."""
+    """Materialise ``df`` in the shared checkpoint folder (reliable, eager).
+
+    A reliable checkpoint writes its files in a second job after the first
+    has run the plan; the rows are kept (memory, then local disk) between the
+    two so that the plan runs once. The cached copy is dropped as soon as
+    the checkpoint files exist; if an executor is lost before, the cached
+    blocks are recomputed from the lineage.
+    """
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return kept.checkpoint(eager=True)
+    finally:
+        kept.unpersist()
 
 
 def broadcast_max_rows(spark: SparkSession) -> int:
@@ -82,16 +94,30 @@ def bounded_broadcast(side: DataFrame, max_rows: int | None = None) -> DataFrame
 
     The check reads at most ``max_rows + 1`` rows. Beyond the bound the side
     is returned unhinted and the planner falls back to a shuffle join (which
-    adaptive execution may still turn into a broadcast at run time).
+    adaptive execution may still turn into a broadcast at run time). The
+    answer is kept on the DataFrame object, so a table handed to several
+    operators is counted once; :func:`same_size` passes it on to a table
+    derived from it row for row.
     """
-    if getattr(side, "_logweave_checked", False):
-        return side
-    limit = broadcast_max_rows(side.sparkSession) if max_rows is None else max_rows
-    out = F.broadcast(side) if side.limit(limit + 1).count() <= limit else side
-    out._logweave_checked = True
+    small = getattr(side, "_logweave_small", None)
+    if small is None:
+        limit = broadcast_max_rows(side.sparkSession) if max_rows is None else max_rows
+        small = side.limit(limit + 1).count() <= limit
+        side._logweave_small = small
+    out = F.broadcast(side) if small else side
+    out._logweave_small = small
     return out
 
 
+def same_size(source: DataFrame, derived: DataFrame) -> DataFrame:
+    """``derived`` (one row per row of ``source``) inherits the outcome of
+    the size check of ``source``, if there was one."""
+    small = getattr(source, "_logweave_small", None)
+    if small is not None:
+        derived._logweave_small = small
+    return derived
+
+
 def small_side(df: DataFrame, max_rows: int | None = None) -> DataFrame:
     """A table derived from large data but small itself (one row per host or
     per chunk): materialised in the checkpoint folder first, so that the size
