@@ -3,7 +3,7 @@
 Three file streams (kernel, syslog, queue captures) are parsed and unioned;
 each micro-batch goes through ``foreachBatch``:
 
-1. read the state left by the batches before it: the file manifest (per
+1. read the state left by the batch before it: the file manifest (per
    host the files still kept, with their bytes) and the kernel cursor;
 2. drop malformed rows (written to ``quarantine/batch=N``), resume after
    the cursor, clamp, rebase to wall clock, format;
@@ -15,8 +15,8 @@ each micro-batch goes through ``foreachBatch``:
    ``state/manifest/batch=N`` and ``state/cursor/batch=N``.
 
 Every write of batch N goes to its own folder, overwritten on replay, and
-the state of batch N is read from batches before N only, so a batch that
-is run again after a failure writes the same output again.
+the state of batch N is read from batch N - 1 only, so a batch that is run
+again after a failure writes the same output again.
 """
 
 from __future__ import annotations
@@ -42,16 +42,14 @@ MANIFEST_DDL = ("host string, file_no bigint, bytes bigint, lines bigint, first_
 CURSOR_DDL = "host string, seqno decimal(20,0)"
 
 
-def _latest_before(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
-    """The newest complete snapshot in ``path`` written by a batch before
-    ``batch_id`` (empty when there is none)."""
-    try:
-        snaps = spark.read.schema(f"{ddl}, batch bigint").parquet(path)
-        snaps = snaps.where(F.col("batch") < batch_id)
-    except Exception:  # no snapshot folder yet
+def _previous_snapshot(spark: SparkSession, path: str, ddl: str, batch_id: int) -> DataFrame:
+    """The snapshot written by batch ``batch_id - 1`` (empty for the first
+    batch). Micro-batches run one after the other and every batch writes
+    its snapshots before it commits, so the one before is always there; it
+    is read by name, without listing the older ones."""
+    if batch_id == 0:
         return spark.createDataFrame([], ddl)
-    newest = snaps.agg(F.max("batch").alias("_b"))
-    return snaps.join(F.broadcast(newest), F.col("batch") == F.col("_b")).drop("batch", "_b")
+    return spark.read.schema(ddl).parquet(f"{path}/batch={batch_id - 1}")
 
 
 def _merge_manifest(old: DataFrame, new: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -76,12 +74,13 @@ def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
     """One micro-batch of the archive (see the module notes)."""
     spark = batch.sparkSession
     state = f"{out}/state"
-    manifest = _latest_before(spark, f"{state}/manifest", MANIFEST_DDL, batch_id)
-    cursor = _latest_before(spark, f"{state}/cursor", CURSOR_DDL, batch_id)
-    if batch_id == 0 or manifest.isEmpty():
-        manifest = manifest0 if manifest0 is not None else manifest
-    if cursor0 is not None and cursor.isEmpty():
-        cursor = cursor0.select("host", F.col("seqno").cast("decimal(20,0)"))
+    if batch_id == 0:
+        manifest = manifest0 if manifest0 is not None else spark.createDataFrame([], MANIFEST_DDL)
+        cursor = (cursor0.select("host", F.col("seqno").cast("decimal(20,0)")) if cursor0 is not None
+                  else spark.createDataFrame([], CURSOR_DDL))
+    else:
+        manifest = _previous_snapshot(spark, f"{state}/manifest", MANIFEST_DDL, batch_id)
+        cursor = _previous_snapshot(spark, f"{state}/cursor", CURSOR_DDL, batch_id)
 
     parsed = batch.persist()
     try:
