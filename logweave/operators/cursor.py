@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, same_size
 from .ordered import CHUNK, ordered_chunks
 
 _TWO_32 = 4294967296
@@ -21,7 +21,7 @@ def after_cursor(df: DataFrame, cursor: DataFrame) -> DataFrame:
     """Keep kernel rows whose ``seqno`` is strictly above the host's stored
     cursor; a cursor of 0 (first run) or no cursor keeps all of them. Rows
     without a sequence number (other sources) pass."""
-    c = bounded_broadcast(cursor.select("host", F.col("seqno").alias("_cursor")))
+    c = same_size(cursor, bounded_broadcast(cursor).select("host", F.col("seqno").alias("_cursor")))
     keep = (F.col("seqno").isNull() | F.col("_cursor").isNull() | (F.col("_cursor") == 0)
             | (F.col("seqno") > F.col("_cursor")))
     return df.join(c, "host", "left").where(keep).drop("_cursor")

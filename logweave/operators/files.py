@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import FILE_SIZE_MAX, TIME_ORDER
-from ..session import small_side
+from ..session import same_size, small_side
 from .order import with_source_rank
 
 
@@ -26,8 +26,9 @@ def effective_file_size(volumes: DataFrame) -> DataFrame:
     blocks = F.least(_int_div(F.col("max_size"), fr),
                      _int_div(F.col("blocks"), F.col("max_rot")),
                      _int_div(F.lit(FILE_SIZE_MAX), fr))
-    return volumes.select("host", (blocks * fr).cast("bigint").alias("file_size"),
-                          F.col("max_rot").cast("int").alias("max_rot"))
+    return same_size(volumes, volumes.select(
+        "host", (blocks * fr).cast("bigint").alias("file_size"),
+        F.col("max_rot").cast("int").alias("max_rot")))
 
 
 def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FILE_SIZE_DEFAULT, ROTATE_FREE_MIN, ROTATIONS_DEFAULT, TIME_ORDER
-from ..session import bounded_broadcast, small_side
+from ..session import bounded_broadcast, same_size, small_side
 from .order import with_source_rank
 from .ordered import CHUNK, ordered_chunks
 
@@ -244,8 +244,9 @@ def _with_sizes(lines: DataFrame, sizes: DataFrame | None, max_size: int,
     if sizes is None:
         return lines.withColumns({SIZE: F.lit(max_size).cast("bigint"),
                                   UNLIMITED: F.lit(max_rot <= 1)})
-    s = sizes.select("host", F.col("file_size").alias("_fs"), F.col("max_rot").alias("_mr"))
-    joined = lines.join(bounded_broadcast(s), "host", "left")
+    s = same_size(sizes, bounded_broadcast(sizes).select(
+        "host", F.col("file_size").alias("_fs"), F.col("max_rot").alias("_mr")))
+    joined = lines.join(s, "host", "left")
     return joined.withColumns({
         SIZE: F.coalesce(F.col("_fs"), F.lit(max_size)).cast("bigint"),
         UNLIMITED: F.coalesce(F.col("_mr"), F.lit(max_rot)) <= 1,

@@ -25,7 +25,7 @@ from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
 from ..schema import LOG_COLUMNS, PAYLOAD_MAX_BYTES, ROTATIONS_DEFAULT
-from ..session import bounded_broadcast
+from ..session import bounded_broadcast, same_size
 from ..sources.records import cap_payload
 from ..sources.sink import write_log_files
 
@@ -78,7 +78,7 @@ def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None
     sizes = effective_file_size(volume)
     printable = lines.where(F.col("line").isNotNull())
     packed, newest = pack_log_files(printable, sizes=sizes, state=state, num_chunks=num_chunks)
-    rot = bounded_broadcast(sizes.select("host", F.col("max_rot").alias("_max_rot")))
+    rot = same_size(sizes, bounded_broadcast(sizes).select("host", F.col("max_rot").alias("_max_rot")))
     kept = keep_rotations(packed.join(rot, "host", "left")
                           .fillna({"_max_rot": ROTATIONS_DEFAULT}), "_max_rot",
                           newest=newest).drop("_max_rot")
