@@ -3,10 +3,12 @@ cursor, report records lost between two logged ones."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,10 @@ from pyspark.sql import types as T
 from ..session import bounded_broadcast, same_size
 from .ordered import CHUNK, ordered_chunks
 
+# The Arrow-batch functions below run in Python workers, which need not be
+# able to import this package: send their code with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TWO_32 = 4294967296
 
 

@@ -29,10 +29,12 @@ steps over ordered chunks (see :mod:`.ordered`):
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +44,10 @@ from ..session import bounded_broadcast, same_size, small_side
 from .order import with_source_rank
 from .ordered import CHUNK, ordered_chunks
 
+# The Arrow-batch functions below run in Python workers, which need not be
+# able to import this package: send their code with the task.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SIZE = "_file_size"
 UNLIMITED = "_unlimited"
 ENTRY_FILE = "_entry_file"
