@@ -11,18 +11,21 @@ from ..operators.order import with_source_rank
 
 def write_log_files(df: DataFrame, path: str, by: str = "file_no", mode: str = "overwrite") -> None:
     """Write each host's lines to ``path/host=H/<by>=N/part-*.txt`` in time
-    order, one file per (host, N).
-
-    Rows are hash partitioned on ``(host, N)``; a group is one output file,
-    bounded by the file size, so no task gets a whole host. The rows are
-    sorted by host and number first, so the writer keeps the time order.
-    The text writer ends every row with a newline, so the line is written
-    without its own.
+    order.
+
+    Rows are range partitioned on ``(host, N, time...)``: small files share
+    a task, and a large file (one unlimited file with ``max_rot = 1``, say)
+    is cut into several tasks. The part files of one log file are then
+    numbered in time order (``part-00000`` first), so the log file is its
+    parts read by name. Within a task the rows are sorted by host and number
+    first, so the writer keeps the time order. The text writer ends every
+    row with a newline, so the line is written without its own.
     """
     line = F.col("line")
+    keys = ["host", by, *TIME_ORDER]
     out = (with_source_rank(df)
-           .repartition("host", by)
-           .sortWithinPartitions("host", by, *TIME_ORDER)
+           .repartitionByRange(*keys)
+           .sortWithinPartitions(*keys)
            .select(F.substring(line, F.lit(1), F.char_length(line) - 1).alias("value"), "host", by))
     out.write.mode(mode).partitionBy("host", by).option("lineSep", "\n").text(path)
 

@@ -82,3 +82,29 @@ def test_write_archive_round_trip(spark, archive):
     for r in files.groupBy("f").agg(F.collect_list(F.struct("i", "value")).alias("v")).collect():
         stamps = [x["value"].split(">", 1)[1][:32] for x in sorted(r["v"], key=lambda x: x["i"])]
         assert stamps == sorted(stamps)
+
+
+def test_one_large_file_is_written_by_several_tasks_in_order(spark):
+    """An unlimited file (max_rot = 1) is cut into parts numbered in time order."""
+    import glob
+    import os
+    n = 6000
+    rows = [("h", "kernel", i, 1000 + (i * 7919) % n, 0, f"<6>ts line {(i * 7919) % n:05d}\n")
+            for i in range(n)]
+    df = spark.createDataFrame(rows, "host string, source string, arrival bigint, tstamp_sec bigint, "
+                                     "tstamp_nsec int, line string").withColumn("file_no", F.lit(0))
+    out = scratch_path(spark, "test-bigfile")
+    from logweave.sources.sink import write_log_files
+    # at this size adaptive execution would merge all ranges into one task
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        write_log_files(df, out)
+    finally:
+        spark.conf.set(key, before)
+    folder = out.removeprefix("file:") + "/host=h/file_no=0"
+    parts = sorted(glob.glob(os.path.join(folder, "part-*")))
+    assert len(parts) > 1
+    text = "".join(open(p).read() for p in parts)
+    assert text.splitlines() == [f"<6>ts line {k:05d}" for k in range(n)]
