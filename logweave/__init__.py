@@ -22,7 +22,7 @@ from .plans.archive import Archive, build_log_archive, write_archive
 from .sources.records import (cap_payload, read_kernel_records, read_queue_records,
                               read_syslog_records)
 from .sources.sink import read_log_files, write_log_files
-from .streaming.archive import read_stream_archive, stream_log_archive
+from .streaming.archive import parse_metrics, read_stream_archive, stream_log_archive
 from .streaming.sources import stream_records
 
 __all__ = [
@@ -30,7 +30,7 @@ __all__ = [
     "build_log_archive", "cap_payload", "clamp_future", "count_rejects", "drop_duplicates",
     "drop_duplicates_stream", "drop_malformed", "effective_file_size", "file_manifest",
     "format_lines", "keep_rotations", "line_bytes", "manifest_state", "merge_sources",
-    "number_lines", "order_by_time", "pack_log_files", "parse_kernel", "parse_kernel_log",
+    "number_lines", "order_by_time", "parse_metrics", "pack_log_files", "parse_kernel", "parse_kernel_log",
     "parse_queue", "parse_queue_log", "parse_syslog", "parse_syslog_log",
     "quarantine_malformed", "read_kernel_records", "read_log_files", "read_queue_records",
     "read_stream_archive", "read_syslog_records", "sequence_gaps", "severity_at_most",

@@ -142,6 +142,22 @@ def stream_log_archive(spark: SparkSession, out: str, clocks: DataFrame, volume:
     return writer.start()
 
 
+def parse_metrics(query) -> dict[str, dict[str, int]]:
+    """Records and rejects per source over the batches a streaming archive
+    reports in its recent progress (the parsers' observed metrics), e.g.
+    ``{"kernel": {"records": 1000, "rejects": 199}, ...}``."""
+    out: dict[str, dict[str, int]] = {}
+    for progress in query.recentProgress:
+        for name, row in (progress.observedMetrics or {}).items():
+            if not name.startswith("parse_"):
+                continue
+            source = name.split("_")[1]
+            acc = out.setdefault(source, {"records": 0, "rejects": 0})
+            acc["records"] += int(row["records"])
+            acc["rejects"] += int(row["rejects"])
+    return out
+
+
 def read_stream_archive(spark: SparkSession, out: str) -> DataFrame:
     """The kept lines of a streaming archive: ``host, file_no, rotation,
     line`` (files rotated out by the newest manifest are left out)."""

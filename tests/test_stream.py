@@ -9,7 +9,7 @@ from logweave.plans.archive import archive_lines, parse_all
 from logweave.operators.packing import assign_log_files
 from logweave.session import scratch_path
 from logweave.sources import captures
-from logweave.streaming.archive import read_stream_archive, stream_log_archive
+from logweave.streaming.archive import parse_metrics, read_stream_archive, stream_log_archive
 
 SF = "/root/testdata/sf0.001"
 
@@ -65,8 +65,14 @@ def test_single_batch_equals_batch_files(spark):
     s = _spool_parts(v["raw_syslog"], "s1", 1)
     q = _spool_parts(v["raw_queue"], "q1", 1)
     out = scratch_path(spark, "test-stream1")
-    stream_log_archive(spark, out, v["boot_clock"], v["volume"], kernel_path=k, syslog_path=s,
-                       queue_path=q, cursor=v["cursor"]).awaitTermination()
+    query = stream_log_archive(spark, out, v["boot_clock"], v["volume"], kernel_path=k,
+                               syslog_path=s, queue_path=q, cursor=v["cursor"])
+    query.awaitTermination()
+    metrics = parse_metrics(query)
+    assert metrics["kernel"]["records"] == v["raw_kernel"].count()
+    assert metrics["queue"]["records"] == v["raw_queue"].count()
+    parsed_all = parse_all(v["raw_kernel"], v["raw_syslog"], v["raw_queue"])
+    assert sum(m["rejects"] for m in metrics.values()) == parsed_all.where("reason IS NOT NULL").count()
     streamed = sorted((r["host"], r["file_no"], r["line"]) for r in read_stream_archive(spark, out).collect())
     parsed = parse_all(v["raw_kernel"], v["raw_syslog"], v["raw_queue"])
     lines = archive_lines(parsed, v["boot_clock"], v["cursor"]).where(F.col("line").isNotNull())
