@@ -39,7 +39,7 @@ SELECT concat('h', CAST(conv_id % 8 AS VARCHAR)) AS host, conv_id * 100 + turn A
          WHEN conv_id % 5 = 3 THEN 'x:: '
          ELSE 'é ' END,
     role, CASE WHEN turn % 2 = 0 THEN concat('[', CAST(conv_id AS VARCHAR), ']') ELSE '' END,
-    ': ', substring(text, 1, 200)) AS raw,
+    ': ', text) AS raw,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(conv_id + 1 AS INTEGER) END AS sender_pid,
   CAST(conv_id * 60 AS BIGINT) AS recv_sec, CAST(turn * 1000000 AS INTEGER) AS recv_nsec
 FROM conversations""",
@@ -87,6 +87,29 @@ def prio_ok(x: str) -> str:
     return f"({num_ok(x, 3)} AND coalesce({ulong(x)} <= 1023, false))"
 
 
+
+def _syslog_parse(source: str, pb: str) -> str:
+    """Syslog parse over ``source``; ``pb`` is the number of bytes of a
+    character cut by the read buffer at the end of the datagram."""
+    return rf"""
+SELECT host, 'syslog' AS source, arrival, recv_sec AS tstamp_sec, recv_nsec AS tstamp_nsec,
+  TRY_CAST({ulong('pt')} AS INTEGER) & 1016 AS facility,
+  TRY_CAST({ulong('pt')} AS INTEGER) & 7 AS severity,
+  regexp_extract(regexp_extract(head, '([^ ]*)$', 1), '^([^\[]*)', 1) AS tag,
+  sender_pid AS pid, CAST(NULL AS DECIMAL(20,0)) AS seqno,
+  regexp_extract(rest, ': ([^\n\x00]*)', 1) AS body,
+  CASE WHEN pt = '' OR NOT {prio_ok('pt')} THEN 'bad_priority'
+       WHEN strlen(rest) < 5 THEN 'too_short'
+       WHEN NOT regexp_matches(rest, '^[\x21-\x39\x3b-\x7e \t]+(?::[\x21-\x39\x3b-\x7e\t][\x21-\x39\x3b-\x7e \t]*)*: (?s:.)') THEN 'no_body_mark'
+       WHEN regexp_extract(rest, ': ([^\n\x00]*)', 1) = '' THEN 'empty_body'
+       WHEN regexp_extract(regexp_extract(head, '([^ ]*)$', 1), '^([^\[]*)', 1) = '' THEN 'bad_tag'
+  END AS reason,
+  CAST({pb} AS INTEGER) AS pb
+FROM (SELECT *, CASE WHEN strpos(rest, ': ') > 0 THEN substr(rest, 1, strpos(rest, ': ') - 1) ELSE '' END AS head
+      FROM (SELECT *, substr(raw, length(pt) + 3) AS rest
+            FROM (SELECT *, regexp_extract(raw, '^<({SP}*[+-]?[0-9]+)>', 1) AS pt FROM {source})))"""
+
+
 LOG_SELECT = """host, source, arrival, tstamp_sec, tstamp_nsec, facility, severity, tag, pid,
   seqno, body"""
 
@@ -106,26 +129,25 @@ SELECT host, 'kernel' AS source, arrival,
        WHEN np < 4 OR NOT {num_ok('tt', 20)} THEN 'bad_time'
        WHEN NOT regexp_matches(rest, '^[^;]+;') THEN 'no_header_end'
        WHEN NOT regexp_matches(rest, '^[^;]+;[^\n]+\n') THEN 'no_body'
-  END AS reason
+  END AS reason,
+  CAST(0 AS INTEGER) AS pb
 FROM (SELECT host, arrival, raw, len(p) AS np, p[1] AS pt, p[2] AS st, p[3] AS tt,
              CASE WHEN len(p) >= 4 THEN array_to_string(p[4:], ',') END AS rest
       FROM (SELECT host, arrival, raw, string_split(raw, ',') AS p FROM raw_kernel))""",
-    "sparse": rf"""
-SELECT host, 'syslog' AS source, arrival, recv_sec AS tstamp_sec, recv_nsec AS tstamp_nsec,
-  TRY_CAST({ulong('pt')} AS INTEGER) & 1016 AS facility,
-  TRY_CAST({ulong('pt')} AS INTEGER) & 7 AS severity,
-  regexp_extract(regexp_extract(head, '([^ ]*)$', 1), '^([^\[]*)', 1) AS tag,
-  sender_pid AS pid, CAST(NULL AS DECIMAL(20,0)) AS seqno,
-  regexp_extract(rest, ': ([^\n\x00]*)', 1) AS body,
-  CASE WHEN pt = '' OR NOT {prio_ok('pt')} THEN 'bad_priority'
-       WHEN strlen(rest) < 5 THEN 'too_short'
-       WHEN NOT regexp_matches(rest, '^[\x21-\x39\x3b-\x7e \t]+(?::[\x21-\x39\x3b-\x7e\t][\x21-\x39\x3b-\x7e \t]*)*: (?s:.)') THEN 'no_body_mark'
-       WHEN regexp_extract(rest, ': ([^\n\x00]*)', 1) = '' THEN 'empty_body'
-       WHEN regexp_extract(regexp_extract(head, '([^ ]*)$', 1), '^([^\[]*)', 1) = '' THEN 'bad_tag'
-  END AS reason
-FROM (SELECT *, CASE WHEN strpos(rest, ': ') > 0 THEN substr(rest, 1, strpos(rest, ': ') - 1) ELSE '' END AS head
-      FROM (SELECT *, substr(raw, length(pt) + 3) AS rest
-            FROM (SELECT *, regexp_extract(raw, '^<({SP}*[+-]?[0-9]+)>', 1) AS pt FROM raw_syslog)))""",
+    "sparse": _syslog_parse("raw_syslog", "0"),
+    "sparse_c": _syslog_parse("raw_syslog_c", "pb"),
+    # The read buffer keeps 1024 bytes of a datagram. Spark keeps the bytes
+    # of a character cut at the limit; they come back as one U+FFFD, so
+    # the oracle ends such a datagram with U+FFFD and remembers in ``pb``
+    # how many bytes it stands for (line sizes are corrected below).
+    "raw_syslog_c": """
+SELECT host, arrival, sender_pid, recv_sec, recv_nsec,
+  CASE WHEN strlen(raw) <= 1024 THEN raw
+       ELSE concat(left(raw, k), CASE WHEN strlen(left(raw, k)) < 1024 THEN chr(65533) ELSE '' END) END AS raw,
+  CASE WHEN strlen(raw) <= 1024 THEN 0 ELSE 1024 - strlen(left(raw, k)) END AS pb
+FROM (SELECT *, CASE WHEN strlen(raw) > 1024 THEN
+        list_max(list_filter(range(0, length(raw) + 1), lambda x: strlen(left(raw, x)) <= 1024)) END AS k
+      FROM raw_syslog)""",
     "qparse": r"""
 SELECT host, 'queue' AS source, arrival, tstamp_sec, tstamp_nsec,
   prio & 1016 AS facility, prio & 7 AS severity,
@@ -136,13 +158,14 @@ SELECT host, 'queue' AS source, arrival, tstamp_sec, tstamp_nsec,
        WHEN tag_len < 0 OR tag_len > strlen(data) - 1
             OR regexp_extract(substr(data, greatest(tag_len, 0) + 1), '^([^\n\x00]*)', 1) = ''
          THEN 'bad_message'
-  END AS reason
+  END AS reason,
+  CAST(0 AS INTEGER) AS pb
 FROM raw_queue""",
 }
 
 STAGES = {
-    "parsed": "SELECT * FROM kparse UNION ALL SELECT * FROM sparse UNION ALL SELECT * FROM qparse",
-    "good": f"SELECT {LOG_SELECT} FROM parsed WHERE reason IS NULL",
+    "parsed": "SELECT * FROM kparse UNION ALL SELECT * FROM sparse_c UNION ALL SELECT * FROM qparse",
+    "good": f"SELECT {LOG_SELECT}, pb FROM parsed WHERE reason IS NULL",
     "kgood": f"SELECT {LOG_SELECT} FROM kparse WHERE reason IS NULL",
     "clock": """
 SELECT host, boot_now_us // 1000000 AS now_sec, CAST((boot_now_us % 1000000) * 1000 AS INTEGER) AS now_nsec,
@@ -156,13 +179,13 @@ WHERE g.seqno IS NULL OR c.seqno IS NULL OR c.seqno = 0 OR g.seqno > c.seqno""",
 SELECT g.host, g.source, g.arrival,
   CASE WHEN later THEN now_sec ELSE tstamp_sec END AS tstamp_sec,
   CASE WHEN later THEN now_nsec ELSE tstamp_nsec END AS tstamp_nsec,
-  facility, severity, tag, pid, seqno, body
+  facility, severity, tag, pid, seqno, body, pb
 FROM (SELECT g.*, k.now_sec, k.now_nsec,
         coalesce(g.source = 'kernel' AND (g.tstamp_sec > k.now_sec
           OR (g.tstamp_sec = k.now_sec AND g.tstamp_nsec > k.now_nsec)), false) AS later
       FROM cursored g LEFT JOIN clock k ON g.host = k.host) g""",
     "deduped": f"""
-SELECT {LOG_SELECT} FROM (
+SELECT {LOG_SELECT}, pb FROM (
   SELECT *, row_number() OVER (PARTITION BY host, source, tstamp_sec, tstamp_nsec, facility,
                                  severity, tag, pid, body ORDER BY arrival) AS dup_rn
   FROM clamped) WHERE dup_rn = 1""",
@@ -170,10 +193,11 @@ SELECT {LOG_SELECT} FROM (
 SELECT d.host, d.source, d.arrival,
   d.tstamp_sec + coalesce(k.off_sec, 0) + CASE WHEN d.tstamp_nsec + coalesce(k.off_nsec, 0) >= 1000000000 THEN 1 ELSE 0 END AS tstamp_sec,
   CAST((d.tstamp_nsec + coalesce(k.off_nsec, 0)) % 1000000000 AS INTEGER) AS tstamp_nsec,
-  d.facility, d.severity, d.tag, d.pid, d.seqno, d.body
+  d.facility, d.severity, d.tag, d.pid, d.seqno, d.body, d.pb
 FROM deduped d LEFT JOIN clock k ON d.host = k.host""",
     "lines": """
-SELECT *, strlen(line) AS line_bytes,
+SELECT *,
+  strlen(line) - CASE WHEN pb > 0 AND ends_with(body, chr(65533)) THEN 3 - pb ELSE 0 END AS line_bytes,
   CASE source WHEN 'kernel' THEN 0 WHEN 'syslog' THEN 1 ELSE 2 END AS source_rank
 FROM (SELECT *,
   concat('<', CAST(facility | severity AS VARCHAR), '>', ts,
@@ -210,11 +234,12 @@ WHERE rotation < frot""",
 
 # Which CTEs each stage needs, in order.
 _ORDER = ["raw_kernel", "raw_syslog", "raw_queue", "boot_clock", "cursor_t", "volume",
-          "kparse", "sparse", "qparse", "parsed", "good", "kgood", "clock", "cursored",
+          "raw_syslog_c", "kparse", "sparse", "sparse_c", "qparse", "parsed", "good", "kgood", "clock", "cursored",
           "clamped", "deduped", "walled", "lines", "sizes", "pk_in", "pk", "packed", "rotated"]
 _DEPS = {
     "kparse": ["raw_kernel"], "sparse": ["raw_syslog"], "qparse": ["raw_queue"],
-    "parsed": ["kparse", "sparse", "qparse"], "good": ["parsed"], "kgood": ["kparse"],
+    "raw_syslog_c": ["raw_syslog"], "sparse_c": ["raw_syslog_c"],
+    "parsed": ["kparse", "sparse_c", "qparse"], "good": ["parsed"], "kgood": ["kparse"],
     "clock": ["boot_clock"], "cursored": ["good", "cursor_t"], "clamped": ["cursored", "clock"],
     "deduped": ["clamped"], "walled": ["deduped", "clock"], "lines": ["walled"],
     "sizes": ["volume"], "pk_in": ["lines", "sizes"], "pk": ["pk_in"],
@@ -263,13 +288,13 @@ FROM (SELECT *, strpos(raw, ',') > 0 AND {prio_ok('pt')} AS ok
     "parse_kernel_log": with_ctes(["kparse"], f"SELECT {LOG} FROM kparse WHERE reason IS NULL"),
     "parse_syslog": with_ctes(["sparse"], f"SELECT {LOG} FROM sparse WHERE reason IS NULL"),
     "parse_queue_log": with_ctes(["qparse"], f"SELECT {LOG} FROM qparse WHERE reason IS NULL"),
-    "drop_malformed": with_ctes(["good"], "SELECT * FROM good"),
+    "drop_malformed": with_ctes(["good"], f"SELECT {LOG} FROM good"),
     "quarantine_malformed": with_ctes(["parsed"],
                                       f"SELECT {KEY}, reason FROM parsed WHERE reason IS NOT NULL"),
     "count_rejects": with_ctes(["parsed"], f"""
 SELECT host, source, reason, count(*) AS rejects FROM parsed WHERE reason IS NOT NULL
 GROUP BY host, source, reason"""),
-    "severity_at_most": with_ctes(["good"], "SELECT * FROM good WHERE severity <= 4"),
+    "severity_at_most": with_ctes(["good"], f"SELECT {LOG} FROM good WHERE severity <= 4"),
     "after_cursor": with_ctes(["kgood", "cursor_t"], """
 SELECT g.* FROM kgood g LEFT JOIN cursor_t c ON g.host = c.host
 WHERE c.seqno IS NULL OR c.seqno = 0 OR g.seqno > c.seqno"""),

@@ -97,7 +97,8 @@ def raw_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once
 def raw_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One datagram per conversation turn: dated, bare, colon, double colon
-    and non-ASCII headers; multi-line UTF-8 bodies."""
+    and non-ASCII headers; the whole turn text as a multi-line UTF-8 body
+    (longer ones exceed the 1024-byte read buffer)."""
     cv = _table(spark, sf_dir, "conversations")
     cid, turn = F.col("conv_id"), F.col("turn")
     header = (
@@ -110,7 +111,7 @@ def raw_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.concat(
         F.lit("<"), _s((cid * 7 + turn) % 192), F.lit(">"), header, F.col("role"),
         F.when(turn % 2 == 0, F.concat(F.lit("["), _s(cid), F.lit("]"))).otherwise(F.lit("")),
-        F.lit(": "), F.substring(F.col("text"), 1, 200))
+        F.lit(": "), F.col("text"))
     return cv.select(
         host_of(cid).alias("host"), (cid * 100 + turn).alias("arrival"), raw.alias("raw"),
         F.when(turn % 3 == 0, F.lit(None)).otherwise((cid + 1).cast("int")).alias("sender_pid"),
