@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bounded_broadcast, same_size
-from .ordered import CHUNK, ordered_chunks
+from .ordered import CHUNK, binary_schema, bytes_as_strings, ordered_chunks, strings_as_bytes
 
 # The Arrow-batch functions below run in Python workers, which need not be
 # able to import this package: send their code with the task.
@@ -103,7 +103,8 @@ def sequence_gaps(df: DataFrame, num_chunks: int | None = None) -> DataFrame:
     seq = (df.where(F.col("seqno").isNotNull()).select("host", "seqno").distinct()
            .withColumns({"_hi": _hi(F.col("seqno")), "_lo": _lo(F.col("seqno"))}))
     chunks = ordered_chunks(seq, ["host"], ["seqno"], num_chunks)
-    inner = chunks.select("host", CHUNK, "_hi", "_lo").mapInPandas(_gaps_in_chunks, _PAIR_SCHEMA)
+    narrow, _ = strings_as_bytes(chunks.select("host", CHUNK, "_hi", "_lo"))
+    inner = bytes_as_strings(narrow.mapInPandas(_gaps_in_chunks, binary_schema(_PAIR_SCHEMA)), ["host"])
     inner = inner.select("host", _from_parts("prev_hi", "prev_lo").alias("_prev"),
                          _from_parts("next_hi", "next_lo").alias("_next"))
     bounds = chunks.groupBy("host", CHUNK).agg(F.min("seqno").alias("_first"),

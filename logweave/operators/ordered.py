@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage, small_side
 
@@ -24,6 +25,25 @@ CHUNK = "_chunk"
 ROW_ID = "_row_id"
 
 
+def strings_as_bytes(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """String columns cast to binary (the same bytes) for a Python scan:
+    Arrow wants valid UTF-8 in strings, and a payload cut at a byte limit
+    may end inside a character. Returns the frame and the cast columns."""
+    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return df.withColumns({c: F.col(c).cast("binary") for c in cols}), cols
+
+
+def bytes_as_strings(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Undo :func:`strings_as_bytes` on the columns still present."""
+    return df.withColumns({c: F.col(c).cast("string") for c in cols if c in df.columns})
+
+
+def binary_schema(schema: T.StructType) -> T.StructType:
+    """``schema`` with string fields as binary."""
+    return T.StructType([T.StructField(f.name, T.BinaryType(), f.nullable)
+                         if isinstance(f.dataType, T.StringType) else f for f in schema.fields])
+
+
 def ordered_chunks(df: DataFrame, keys: list[str], order: list[str],
                    num_chunks: int | None = None, row_ids: bool = False) -> DataFrame:
     """``df`` range partitioned and sorted on ``keys + order``, with the

@@ -42,7 +42,8 @@ from pyspark.sql import types as T
 from ..schema import FILE_SIZE_DEFAULT, ROTATE_FREE_MIN, ROTATIONS_DEFAULT, TIME_ORDER
 from ..session import bounded_broadcast, same_size, small_side
 from .order import with_source_rank
-from .ordered import CHUNK, ordered_chunks
+from .ordered import (CHUNK, binary_schema, bytes_as_strings, ordered_chunks,
+                      strings_as_bytes)
 
 # The Arrow-batch functions below run in Python workers, which need not be
 # able to import this package: send their code with the task.
@@ -270,8 +271,10 @@ def pack_log_files(lines: DataFrame, sizes: DataFrame | None = None,
     prepared = _with_sizes(with_source_rank(lines), sizes, max_size, max_rot)
     chunks = ordered_chunks(prepared, ["host"], TIME_ORDER, num_chunks)
 
-    summaries = chunks.select("host", CHUNK, "line_bytes", SIZE, UNLIMITED).mapInPandas(
-        _summaries, _SUMMARY_SCHEMA)
+    # Python scans see strings as bytes (see strings_as_bytes).
+    narrow, _ = strings_as_bytes(chunks.select("host", CHUNK, "line_bytes", SIZE, UNLIMITED))
+    summaries = bytes_as_strings(
+        narrow.mapInPandas(_summaries, binary_schema(_SUMMARY_SCHEMA)), ["host"])
     if state is None:
         summaries = summaries.withColumns({"start_file": F.lit(0).cast("bigint"),
                                            "start_used": F.lit(0).cast("bigint")})
@@ -280,16 +283,17 @@ def pack_log_files(lines: DataFrame, sizes: DataFrame | None = None,
                           F.col("bytes").cast("bigint").alias("start_used"))
         summaries = summaries.join(bounded_broadcast(st), "host", "left").fillna(
             0, ["start_file", "start_used"])
-    entries = small_side(summaries.repartition("host").sortWithinPartitions("host", CHUNK)
-                         .mapInPandas(_chain_chunks, _ENTRY_SCHEMA))
+    ordered, _ = strings_as_bytes(summaries.repartition("host").sortWithinPartitions("host", CHUNK))
+    entries = small_side(bytes_as_strings(
+        ordered.mapInPandas(_chain_chunks, binary_schema(_ENTRY_SCHEMA)), ["host"]))
     newest = entries.groupBy("host").agg(F.max("_exit_file").alias("newest"))
 
-    located = (chunks.join(entries, ["host", CHUNK])
-               .sortWithinPartitions("host", *TIME_ORDER))
+    located, text_cols = strings_as_bytes(chunks.join(entries, ["host", CHUNK])
+                                          .sortWithinPartitions("host", *TIME_ORDER))
     out_schema = T.StructType([f for f in located.schema.fields
                                if f.name not in (ENTRY_FILE, ENTRY_USED, "_exit_file")]
                               + [T.StructField("file_no", T.LongType())])
-    numbered = located.mapInPandas(_number_chunks, out_schema)
+    numbered = bytes_as_strings(located.mapInPandas(_number_chunks, out_schema), text_cols)
     return numbered.select(*cols, "file_no"), newest
 
 
