@@ -82,3 +82,23 @@ def test_single_batch_equals_batch_files(spark):
     want = sorted((r["host"], r["file_no"], r["line"]) for r in packed.collect()
                   if newest[r["host"]] - r["file_no"] < sizes[r["host"]])
     assert streamed == want
+
+
+def test_stream_drop_duplicates(spark):
+    """Copies of a message are dropped within the watermark delay."""
+    from decimal import Decimal
+    from logweave.operators.order import drop_duplicates_stream
+    from logweave.schema import LOG_SCHEMA
+    rows = [("h", "queue", i, 1700000000 + (i % 50), 0, 8, 6, "t", 1, None, f"m{i % 50}")
+            for i in range(200)]
+    rows += [("h", "kernel", 1000, 1700000001, 5, 0, 6, "kernel", 0, Decimal(9), "k")] * 3
+    path = scratch_path(spark, "test-dedupe-src")
+    spark.createDataFrame(rows, LOG_SCHEMA).write.parquet(path)
+    stream = drop_duplicates_stream(spark.readStream.schema(LOG_SCHEMA).parquet(path), "1 hour")
+    out = scratch_path(spark, "test-dedupe-out")
+    q = (stream.writeStream.format("parquet").option("checkpointLocation", out + "/_ck")
+         .trigger(availableNow=True).start(out + "/data"))
+    q.awaitTermination()
+    got = spark.read.parquet(out + "/data")
+    assert got.count() == 51
+    assert got.where("source = 'kernel'").count() == 1
