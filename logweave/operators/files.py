@@ -43,7 +43,8 @@ def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:
     """
     ranked = with_source_rank(df)
     w = Window.partitionBy("host").orderBy(*TIME_ORDER)
-    top = ranked.withColumn("take_no", F.row_number().over(w)).where(F.col("take_no") <= max_rows)
+    top = (ranked.withColumn("take_no", F.row_number().over(w).cast("bigint"))
+           .where(F.col("take_no") <= max_rows))
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (top.withColumn("cum_bytes", F.sum("line_bytes").over(running))
             .where(F.col("cum_bytes") <= max_bytes))

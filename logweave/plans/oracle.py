@@ -351,7 +351,7 @@ SELECT {KEY}, concat('<', CAST(facility | severity AS VARCHAR), '>') AS prio_fie
 SELECT {KEY}, take_no, cum_bytes FROM (
   SELECT {KEY},
     row_number() OVER w AS take_no,
-    sum(line_bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_bytes
+    CAST(sum(line_bytes) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS cum_bytes
   FROM lines WHERE line IS NOT NULL
   WINDOW w AS (PARTITION BY host ORDER BY tstamp_sec, tstamp_nsec, source_rank, arrival))
 WHERE take_no <= 48 AND cum_bytes <= 4096"""),

@@ -37,6 +37,14 @@ def digest(columns: list[str], rows: list[tuple]) -> str:
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()[:16]
 
 
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR", "boolean": "BOOLEAN"}
+
+
+def spark_types(df) -> dict:
+    return {f.name: TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString().upper())
+            for f in df.schema.fields}
+
+
 def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     con.execute("SET TimeZone='UTC'")
@@ -63,8 +71,10 @@ def compare(spark, sf_dir: str, names: list[str] | None = None) -> dict:
             cur = con.execute(sql[name])
             ocols = [d[0] for d in cur.description]
             orows = cur.fetchall()
+            otypes = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql[name]}").fetchall()}
             res.update(oracle_rows=len(orows), oracle_s=round(time.time() - t1, 2),
                        cols_match=sorted(cols) == sorted(ocols),
+                       types_match=spark_types(df) == otypes,
                        hash_match=digest(cols, rows) == digest(ocols, orows))
             if not res["hash_match"]:
                 order = sorted(range(len(cols)), key=lambda i: cols[i])

@@ -24,6 +24,7 @@ def test_every_query_has_an_oracle():
 def test_query_matches_oracle(spark, name):
     res = compare(spark, SF001, [name])[name]
     assert res["cols_match"], res
+    assert res["types_match"], res
     assert res["rows"] == res["oracle_rows"], res
     assert res["hash_match"], res
 
