@@ -37,20 +37,13 @@ def unsigned_field_ok(text: Column, max_chars: int) -> Column:
 
 def unsigned_field_value(text: Column) -> Column:
     """The ``unsigned long`` value of a field accepted by
-    :func:`unsigned_field_ok`, as ``DECIMAL(20,0)``; null otherwise.
-    Up to 18 digits without a minus sign (every real kernel number) stay on
-    64-bit integers; only longer or negative ones take the decimal path."""
-    digits = F.regexp_extract(text, "([0-9]+)$", 1)
-    negative = text.contains("-")
-    magnitude = digits.try_cast("decimal(38,0)")
-    wide = (
-        F.when(magnitude > _dec(ULONG_MAX), _dec(ULONG_MAX))
-        .when(negative & (magnitude > 0), _dec(ULONG_MAX + 1) - magnitude)
-        .otherwise(magnitude)
-    )
-    fast = (F.char_length(digits) <= 18) & ~negative
-    return F.when(fast, digits.try_cast("bigint").cast("decimal(20,0)")).otherwise(
-        wide.cast("decimal(20,0)"))
+    :func:`unsigned_field_ok`, as ``DECIMAL(20,0)``. Up to 18 characters
+    without a minus sign a plain cast reads it (the cast skips the same
+    blanks and takes the sign); longer or negative fields take the exact
+    unsigned path."""
+    plain = ~text.contains("-") & (F.char_length(text) <= 18)
+    return F.when(plain, text.try_cast("bigint").cast("decimal(20,0)")).otherwise(
+        unsigned_wrap(unsigned_magnitude(text), text.contains("-")))
 
 
 def unsigned_magnitude(text: Column) -> Column:

@@ -3,7 +3,6 @@ checkpoint folder, and size-checked broadcasts."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -136,8 +135,3 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < target:
         return df.repartition(target)
     return df
-
-
-def env_int(name: str, default: int) -> int:
-    value = os.environ.get(name)
-    return int(value) if value else default

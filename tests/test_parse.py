@@ -115,3 +115,20 @@ def test_split_priority(spark, raw, ok, fac, sev):
     df = spark.createDataFrame([(raw,)], "raw string")
     r = split_priority(df).collect()[0]
     assert (r["prio_ok"], r["facility"], r["severity"]) == (ok, fac, sev)
+
+
+@pytest.mark.parametrize("text,ok,value", [
+    ("7", True, 7), (" \t\n7", True, 7), ("+7", True, 7), ("-0", True, 0),
+    ("-5", True, 18446744073709551611), ("18446744073709551615", True, 18446744073709551615),
+    ("99999999999999999999", True, 18446744073709551615), ("123456789012345678", True, 123456789012345678),
+    ("1234567890123456789", True, 1234567890123456789), ("7a", False, None), ("", False, None),
+    ("- 7", False, None), ("123456789012345678901", False, None),
+])
+def test_unsigned_field(spark, text, ok, value):
+    from pyspark.sql import functions as F
+    from logweave.functions.numbers import unsigned_field_ok, unsigned_field_value
+    r = spark.createDataFrame([(text,)], "t string").select(
+        unsigned_field_ok(F.col("t"), 20).alias("ok"), unsigned_field_value(F.col("t")).alias("v")).collect()[0]
+    assert r["ok"] == ok
+    if ok:
+        assert int(r["v"]) == value
