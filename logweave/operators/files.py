@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import FILE_SIZE_MAX, TIME_ORDER
 from ..session import same_size, small_side
 from .order import with_source_rank
+from .ordered import number_within
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -36,15 +37,23 @@ def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:
     lines whose ``line_bytes`` add up to at most ``max_bytes``; empty when
     the first line alone is too long. Adds ``take_no`` and ``cum_bytes``.
 
-    The row limit is applied first as a per-host top-k, which Spark
-    evaluates partially before the shuffle, so at most ``max_rows`` rows per
-    host and task cross the network; the running sum then sees at most
+    Up to Spark's window group limit threshold (1000 by default) the row
+    limit is a per-host top-k that Spark evaluates partially before the
+    shuffle, so at most ``max_rows`` rows per host and task cross the
+    network. Above it the rows are numbered over ordered chunks (no host in
+    one task) and cut there. Either way the running sum then sees at most
     ``max_rows`` rows per host.
     """
     ranked = with_source_rank(df)
     w = Window.partitionBy("host").orderBy(*TIME_ORDER)
-    top = (ranked.withColumn("take_no", F.row_number().over(w).cast("bigint"))
-           .where(F.col("take_no") <= max_rows))
+    threshold = int(df.sparkSession.conf.get(
+        "spark.sql.optimizer.windowGroupLimitThreshold", "1000") or 1000)
+    if max_rows <= threshold:
+        top = (ranked.withColumn("take_no", F.row_number().over(w).cast("bigint"))
+               .where(F.col("take_no") <= max_rows))
+    else:
+        top = number_within(ranked, ["host"], TIME_ORDER, "take_no").where(
+            F.col("take_no") <= max_rows)
     running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (top.withColumn("cum_bytes", F.sum("line_bytes").over(running))
             .where(F.col("cum_bytes") <= max_bytes))

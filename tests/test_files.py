@@ -42,3 +42,18 @@ def test_manifest_and_state(spark):
     assert (man[("h", 0)]["last_sec"], man[("h", 0)]["last_nsec"]) == (10, 5)
     st = {r["host"]: (r["file_no"], r["bytes"]) for r in manifest_state(file_manifest(df)).collect()}
     assert st == {"h": (1, 70), "g": (3, 9)}
+
+
+def test_take_by_bytes_above_group_limit(spark):
+    """Row limits above the window group limit threshold take the chunked path."""
+    rows = [("h", "kernel", i, i // 4, i % 4, 10) for i in range(3000)]
+    rows += [("g", "queue", i, 0, i, 30) for i in range(50)]
+    df = spark.createDataFrame(rows, "host string, source string, arrival bigint, tstamp_sec bigint, "
+                                     "tstamp_nsec int, line_bytes bigint")
+    got = take_by_bytes(df, 100000, 2500).collect()
+    h = sorted(r["arrival"] for r in got if r["host"] == "h")
+    assert h == list(range(2500))
+    assert max(r["cum_bytes"] for r in got if r["host"] == "h") == 25000
+    assert sorted(r["take_no"] for r in got if r["host"] == "g") == list(range(1, 51))
+    small = take_by_bytes(df, 100000, 100).where("host = 'h'").count()
+    assert small == 100
