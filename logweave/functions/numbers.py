@@ -20,7 +20,8 @@ from ..schema import ULONG_MAX
 # \v as a character class.
 SPACE_CLASS = r"[ \t\n\x0b\f\r]"
 SPACE_CHARS = (" ", "\t", "\n", "\x0b", "\f", "\r")
-UNSIGNED_FIELD = "^" + SPACE_CLASS + r"*([+-]?)([0-9]+)$"
+# `\z`, not `$`: in Java `$` also matches before a final newline.
+UNSIGNED_FIELD = "^" + SPACE_CLASS + r"*([+-]?)([0-9]+)\z"
 
 
 def _dec(value: int) -> Column:
@@ -48,7 +49,7 @@ def unsigned_field_value(text: Column) -> Column:
 
 def unsigned_magnitude(text: Column) -> Column:
     """Digits of a ``strtoul`` field as ``DECIMAL(38,0)`` (no sign)."""
-    return F.regexp_extract(text, "([0-9]+)$", 1).try_cast("decimal(38,0)")
+    return F.regexp_extract(text, r"([0-9]+)\z", 1).try_cast("decimal(38,0)")
 
 
 def unsigned_wrap(magnitude: Column, negative: Column) -> Column:

@@ -31,8 +31,9 @@ KERNEL_REASONS = ["blank_start", "bad_priority", "bad_seqno", "bad_time",
 SYSLOG_REASONS = ["bad_priority", "too_short", "no_body_mark", "empty_body", "bad_tag"]
 QUEUE_REASONS = ["too_short", "bad_message"]
 
-# A syslog header byte: printable ASCII or a blank (space, tab).
-_HEADER = r"^[\x21-\x7e \t]+$"
+# A syslog header byte: printable ASCII or a blank (space, tab). Java's `$`
+# also matches before a final newline, so the end is anchored with `\z`.
+_HEADER = r"^[\x21-\x7e \t]+\z"
 _SYSLOG_PRIO = r"^<(" + SPACE_CLASS + r"*[+-]?[0-9]+)>"
 
 

@@ -132,3 +132,16 @@ def test_unsigned_field(spark, text, ok, value):
     assert r["ok"] == ok
     if ok:
         assert int(r["v"]) == value
+
+
+def test_final_newline_is_not_end_of_field(spark):
+    """A field ending in a newline is not a whole number; a header ending
+    in a newline is not printable."""
+    k = spark.createDataFrame([("h", 0, "0\n,1,1,-;x\n"), ("h", 1, "6,1\n,1,-;x\n")],
+                              "host string, arrival bigint, raw string")
+    got = {r["arrival"]: r["reason"] for r in parse_kernel(k).collect()}
+    assert got == {0: "bad_priority", 1: "bad_seqno"}
+    s = spark.createDataFrame([("h", 0, "<13>ab\n: cd", None, 0, 0)],
+                              "host string, arrival bigint, raw string, sender_pid int, "
+                              "recv_sec bigint, recv_nsec int")
+    assert parse_syslog(s).collect()[0]["reason"] == "no_body_mark"
