@@ -128,3 +128,23 @@ def test_syslog_parser_matches_rules(spark, raws):
         assert r["reason"] == reason, repr(raw)
         if fields:
             assert (r["facility"], r["severity"], r["tag"], r["body"]) == fields, repr(raw)
+
+
+fragments = st.lists(st.sampled_from(["a", "b c", ":", ": ", "::", "\n", "\x00", "[1]", " ", "\t",
+                                      "é", "x:y", "z[", "<", ">"]), min_size=0, max_size=8)
+
+
+@settings(max_examples=40, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(fragments, min_size=30, max_size=30), st.sampled_from(["<13>", "< 6>", "<191>", "<1024>"]))
+def test_syslog_header_fragments(spark, parts, prio):
+    raws = [prio + "".join(p) for p in parts]
+    df = spark.createDataFrame([("h", i, r, 1, 2, 3) for i, r in enumerate(raws)],
+                               "host string, arrival bigint, raw string, sender_pid int, "
+                               "recv_sec bigint, recv_nsec int")
+    got = {r["arrival"]: r for r in parse_syslog(df).collect()}
+    for i, raw in enumerate(raws):
+        reason, fields = syslog_ref(raw)
+        r = got[i]
+        assert r["reason"] == reason, repr(raw)
+        if fields:
+            assert (r["facility"], r["severity"], r["tag"], r["body"]) == fields, repr(raw)
