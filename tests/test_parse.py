@@ -28,6 +28,12 @@ KERNEL = [
     ("6,1,-;x\n", "bad_time", None),
     ("6\n", "bad_priority", None),
     ("6,1,1,a\nb;x\n", None, (0, 6, Decimal(1), 0, 1000, "x")),
+    ("6,   12345678901234567,1,-;x\n", None, (0, 6, Decimal(12345678901234567), 0, 1000, "x")),
+    ("6,    12345678901234567,1,-;x\n", "bad_seqno", None),
+    ("6,1,  -999999999999999999,-;x\n", "bad_time", None),
+    ("6,1, -999999999999999999,-;x\n", None,
+     (0, 6, Decimal(1), (2 ** 64 - 999999999999999999) // 1000000,
+      ((2 ** 64 - 999999999999999999) % 1000000) * 1000, "x")),
 ]
 
 
