@@ -12,9 +12,12 @@ A bucket of a band may hold a third of all documents, so its pairs are never
 all emitted: every member is first paired with one pivot (the member whose
 buckets are the largest, likely the common origin of the copies). Members
 that stay outside the pivot's component are paired with a second pivot, and
-so on for ``rounds`` rounds; what is left after that is every pair of members
-that are still in different components. Pairs inside a component need no
-test, as they can't change it.
+so on for ``rounds`` rounds. What is left are pairs of members that are still
+in different components (pairs inside one can't change it). For these, count
+the shingles of each document that any document of another component holds,
+among the members of such buckets: no link across components can rest on
+more, so documents with too few of them drop out, and of the others only
+pairs of fitting sizes are compared.
 
 Null or empty texts have no shingles and are linked with nothing; a null id
 takes no part in links. Repeated rows have equal sets, so they are one class.
@@ -41,7 +44,7 @@ BANDS, ROWS = 32, 4
 THRESHOLD = (75, 100)
 MISS = 1e-6
 BATCH = 16
-ROUNDS = 3
+ROUNDS = 2
 
 
 def shingle_sets(column: pa.Array):
@@ -196,14 +199,8 @@ def near_duplicates(docs: DataFrame, miss: float = MISS, rounds: int = ROUNDS) -
             pairs = left.where("id <> pivot").select(F.least("id", "pivot").alias("a"),
                                                      F.greatest("id", "pivot").alias("b"))
         else:
-            now = members.join(comps, "id", "left").select(
-                "key", "id", F.coalesce("component", "id").alias("component"))
-            mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")
-                                           ).where("lo <> hi").select("key")
-            open_rows = now.join(mixed, "key", "left_semi")
-            x = open_rows.withColumnsRenamed({"id": "a", "component": "ca"})
-            y = open_rows.withColumnsRenamed({"id": "b", "component": "cb"})
-            pairs = x.join(y, "key").where("a < b and ca <> cb").select("a", "b")
+            pairs = _remainder(members.join(comps, "id", "left").select(
+                "key", "id", F.coalesce("component", "id").alias("component")), texts)
         pairs = pairs.distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         found = stored(verified(promising(pairs, reps, miss), texts), "links")
@@ -224,6 +221,43 @@ def near_duplicates(docs: DataFrame, miss: float = MISS, rounds: int = ROUNDS) -
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components."""
+    keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return rows.join(keys.select("key"), "key", "left_semi")
+
+
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            for i, s in enumerate(shingle_sets(batch.column(2))):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(np.full(len(s), i))),
+                     batch.column(1).take(pa.array(np.full(len(s), i))), pa.array(s.view(np.int64))],
+                    ["id", "component", "shingle"])
+
+    return texts.select("id", "component", "text").mapInArrow(work, "id bigint, component bigint, shingle bigint")
+
+
+def _remainder(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` of different components that share a bucket of
+    ``rows(key, id, component)`` and could still be links."""
+    part, whole = THRESHOLD
+    rows = stored(_mixed(rows), "open")
+    sets = stored(_shingle_rows(texts.join(rows.select("id", "component").distinct(), "id")), "shingles")
+    contested = sets.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")
+                                            ).where("lo <> hi").select("shingle", F.lit(1).alias("hit"))
+    most = (sets.join(contested, "shingle", "left").groupBy("id")
+            .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("most"))
+            .where(F.col("most") * whole >= F.col("n") * part))
+    rows = stored(_mixed(stored(rows.join(most, "id"), "able")), "able")
+    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "most")])
+            for side in "ab")
+    fits = part * (F.col("n_a") + F.col("n_b")) <= (part + whole) * F.least("most_a", "most_b")
+    return (x.join(y, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+
+
 def _outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
     """Bucket rows that are not in their pivot's component."""
     of_id = comps.withColumnRenamed("component", "c_id")
