@@ -243,18 +243,28 @@ def _remainder(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of different components that share a bucket of
     ``rows(key, id, component)`` and could still be links."""
     part, whole = THRESHOLD
-    rows = stored(_mixed(rows), "open")
+    able = rows = stored(_mixed(rows), "open")
     sets = stored(_shingle_rows(texts.join(rows.select("id", "component").distinct(), "id")), "shingles")
-    contested = sets.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")
-                                            ).where("lo <> hi").select("shingle", F.lit(1).alias("hit"))
-    most = (sets.join(contested, "shingle", "left").groupBy("id")
-            .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("most"))
-            .where(F.col("most") * whole >= F.col("n") * part))
-    rows = stored(_mixed(stored(rows.join(most, "id"), "able")), "able")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "most")])
+    for _ in range(2):  # what drops out may have been what others rested on
+        contested = sets.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")
+                                                ).where("lo <> hi").select("shingle", F.lit(1).alias("hit"))
+        most = stored(sets.join(contested, "shingle", "left").groupBy("id")
+                      .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("most"))
+                      .where(F.col("most") * whole >= F.col("n") * part), "most")
+        able = _mixed(stored(rows.join(most, "id"), "able"))
+        # the bucket's smallest set decides what a member must share at least
+        able = (able.join(able.groupBy("key").agg(F.min("n").alias("low")), "key")
+                .where(part * (F.col("n") + F.col("low")) <= (part + whole) * F.col("most")))
+        able = stored(_mixed(able), "able")
+        rows = able.select("key", "id", "component")
+        sets = sets.join(rows.select("id").distinct(), "id", "left_semi")
+    lists = able.groupBy("id").agg(F.collect_list("key").alias("keys"))
+    x, y = (able.join(lists, "id").select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "most", "keys")])
             for side in "ab")
     fits = part * (F.col("n_a") + F.col("n_b")) <= (part + whole) * F.least("most_a", "most_b")
-    return (x.join(y, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b")) & fits)
+    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
+    return (x.join(y, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
+                                   & fits & once)
             .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
 
 
