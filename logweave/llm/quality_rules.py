@@ -155,6 +155,7 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def quality_filter(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The rows of ``docs`` that are kept, with ``columns`` unchanged."""
-    model = fit(stored(statistics(docs, "doc_id"), "quality"))
-    whole = F.struct(*columns).alias("_row")
-    return (statistics(docs.select(whole, "text"), "_row").where(kept(model)).select("_row.*"))
+    # stored with the rows: a filter on the verdict would otherwise be pushed
+    # below the counts and repeat them
+    stats = stored(statistics(docs.select(F.struct(*columns).alias("_row"), "text"), "_row"), "quality")
+    return stats.where(kept(fit(stats))).select("_row.*")
