@@ -45,7 +45,7 @@ class Tree:
     def __init__(self, points: np.ndarray, rng: np.random.Generator, leaf: int = LEAF):
         self.planes, self.cuts, self.left, self.right, self.sizes = [], [], [], [], []
         self.root = self._split(points, np.arange(len(points)), rng, leaf)
-        self.planes = np.array(self.planes, np.float32).reshape(len(self.cuts), -1)
+        self.planes = np.array(self.planes, np.float32).reshape(len(self.cuts), points.shape[1])
 
     def _split(self, points, ids, rng, leaf):
         todo, root = [(ids, None, None)], None

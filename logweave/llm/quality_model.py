@@ -102,7 +102,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
 
     found = rows.mapInArrow(featurise, "_h bigint, doc_id bigint, label int, place binary, value binary")
     model = found.repartition(1).sortWithinPartitions("_h", "doc_id", "label").mapInArrow(learn, "weights binary")
-    return np.frombuffer(bytes(model.collect()[0]["weights"]), np.float32)
+    learnt = model.collect()
+    return (np.frombuffer(bytes(learnt[0]["weights"]), np.float32) if learnt
+            else np.zeros((1 << BITS) + 1, np.float32))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
