@@ -186,7 +186,7 @@ def test_neighbours(spark):
     width = len(rows[0][1])
     rows += [(100_000, None), (100_100, [0.0] * width), (100_200, [float("nan")] * width), (100_300, [None] * width),
              (100_400, [1.0]), *[(200_000 + i, [0.5] * width) for i in range(30)]]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, leaf int")).collect()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     use = [(i, np.array(v, float)) for i, v in rows if v is not None and len(v) == width
            and None not in v and np.isfinite(v).all() and any(v)]
     want, hits = {}, 0
