@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import SOURCE_RANK, TIME_ORDER
-from .cursor import _from_parts as _from_halves, _hi, _lo
 from .ordered import number_within
 
 DUPLICATE_KEY = ["host", "source", "tstamp_sec", "tstamp_nsec", "facility",
-                 "severity", "tag", "pid", "body"]
+                 "severity", "tag", "pid", "seqno", "body"]
 
 
 def source_rank(source: Column | None = None) -> Column:
@@ -49,26 +48,17 @@ def number_lines(df: DataFrame, num_chunks: int | None = None) -> DataFrame:
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
     """One row per equal ``(host, source, time, facility, severity, tag,
-    pid, body)``; the whole row of the earliest arrival stays.
+    pid, seqno, body)``; the whole row of the earliest arrival stays. Records
+    with different sequence numbers are different records.
 
     A hash aggregation with partial aggregation: copies of a hot message
     collapse in the map tasks, before any shuffle. The other columns are
-    taken with ``min_by(column, arrival)``; the 20-digit sequence number is
-    carried as two 32-bit halves so that every buffer is a fixed-width value
-    and the hash aggregate (not a sort-based one) is used.
+    taken with ``min_by(column, arrival)``.
     """
-    rest = [c for c in df.columns if c not in DUPLICATE_KEY and c != "arrival"]
     arrival = F.col("arrival")
-    aggs = [F.min(arrival).alias("arrival")]
-    for c in rest:
-        if c == "seqno":
-            aggs += [F.min_by(_hi(F.col(c)), arrival).alias("_seq_hi"),
-                     F.min_by(_lo(F.col(c)), arrival).alias("_seq_lo")]
-        else:
-            aggs.append(F.min_by(F.col(c), arrival).alias(c))
-    out = df.groupBy(*DUPLICATE_KEY).agg(*aggs)
-    if "seqno" in rest:
-        out = out.withColumn("seqno", _from_halves("_seq_hi", "_seq_lo"))
+    rest = [c for c in df.columns if c not in DUPLICATE_KEY and c != "arrival"]
+    out = df.groupBy(*DUPLICATE_KEY).agg(
+        F.min(arrival).alias("arrival"), *[F.min_by(F.col(c), arrival).alias(c) for c in rest])
     return out.select(*df.columns)
 
 

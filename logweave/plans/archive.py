@@ -1,8 +1,8 @@
 """The batch job: captured records of many hosts to rotated log files.
 
-read -> cap -> parse (+ reason) -> good / quarantine -> cursor filter ->
-clamp -> merge -> drop duplicates -> wall clock -> line -> file number ->
-rotation -> write.
+read -> parse (+ reason) -> good / quarantine -> cursor filter -> (drop
+duplicates) -> clamp -> wall clock -> line -> file number -> rotation ->
+write.
 
 Everything but the packing scan is one Catalyst plan. Rows cross the
 network at the duplicate drop (partially aggregated), at the range
@@ -24,7 +24,7 @@ from ..operators.order import drop_duplicates, merge_sources
 from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
-from ..schema import LOG_COLUMNS, PAYLOAD_MAX_BYTES, ROTATIONS_DEFAULT
+from ..schema import LOG_COLUMNS, ROTATIONS_DEFAULT
 from ..session import bounded_broadcast, same_size
 from ..sources.records import cap_payload
 from ..sources.sink import write_log_files
@@ -42,38 +42,44 @@ class Archive:
 
 
 def parse_all(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None,
-              queue_raw: DataFrame | None) -> DataFrame:
-    """All inputs parsed with ``reason``, payloads cut to the read buffer."""
+              queue_raw: DataFrame | None, max_bytes: int | None = None) -> DataFrame:
+    """All inputs parsed with ``reason``: whole payloads, or, if asked, only
+    the first ``max_bytes`` of each."""
+    def read(raw: DataFrame, column: str) -> DataFrame:
+        return raw if max_bytes is None else cap_payload(raw, column, max_bytes)
+
     parts = []
     if kernel_raw is not None:
-        parts.append(parse_kernel(cap_payload(kernel_raw, "raw", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_kernel(read(kernel_raw, "raw")))
     if syslog_raw is not None:
-        parts.append(parse_syslog(cap_payload(syslog_raw, "raw", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_syslog(read(syslog_raw, "raw")))
     if queue_raw is not None:
-        parts.append(parse_queue(cap_payload(queue_raw, "data", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_queue(read(queue_raw, "data")))
     return merge_sources(*parts)
 
 
 def archive_lines(parsed: DataFrame, clocks: DataFrame, cursor: DataFrame | None,
-                  dedupe: bool = True) -> DataFrame:
+                  dedupe: bool = False) -> DataFrame:
     """Accepted rows to formatted lines on the wall clock (not yet packed);
-    the ``line`` is null where the time cannot be printed."""
+    the ``line`` is null where the time cannot be printed. Duplicates, if
+    they are to go, are judged on the time as recorded."""
     good = drop_malformed(parsed)
     if cursor is not None:
         good = after_cursor(good, cursor)
-    good = clamp_future(good, clocks)
     if dedupe:
         good = drop_duplicates(good)
+    good = clamp_future(good, clocks)
     return format_lines(to_wall_clock(good, boot_offsets(clocks)))
 
 
 def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None,
                       queue_raw: DataFrame | None, clocks: DataFrame,
                       cursor: DataFrame | None, volume: DataFrame,
-                      state: DataFrame | None = None, dedupe: bool = True,
-                      num_chunks: int | None = None) -> Archive:
-    """The whole batch job as DataFrames (nothing is run here)."""
-    parsed = parse_all(kernel_raw, syslog_raw, queue_raw)
+                      state: DataFrame | None = None, dedupe: bool = False,
+                      num_chunks: int | None = None, max_bytes: int | None = None) -> Archive:
+    """The whole batch job as DataFrames. The packing's checkpoints and the
+    size checks run here; the outputs are computed when they are read."""
+    parsed = parse_all(kernel_raw, syslog_raw, queue_raw, max_bytes)
     lines = archive_lines(parsed, clocks, cursor, dedupe)
     sizes = effective_file_size(volume)
     printable = lines.where(F.col("line").isNotNull())

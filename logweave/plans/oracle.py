@@ -16,7 +16,7 @@ TWO_64 = "18446744073709551616"
 
 VIEWS = {
     "raw_kernel": r"""
-SELECT concat('h', CAST(user_id % 8 AS VARCHAR)) AS host, event_id AS arrival,
+SELECT concat('h', CAST(user_id % 25 AS VARCHAR)) AS host, event_id AS arrival,
   concat(
     CASE WHEN event_id % 17 = 3 THEN ' SUBSYSTEM=x'
          WHEN event_id % 19 = 5 THEN '1024'
@@ -31,7 +31,7 @@ SELECT concat('h', CAST(user_id % 8 AS VARCHAR)) AS host, event_id AS arrival,
          ELSE concat(chr(10), ' DEVICE=c1:', CAST(user_id AS VARCHAR), chr(10)) END) AS raw
 FROM events""",
     "raw_syslog": r"""
-SELECT concat('h', CAST(conv_id % 8 AS VARCHAR)) AS host, conv_id * 100 + turn AS arrival,
+SELECT concat('h', CAST(conv_id % 25 AS VARCHAR)) AS host, conv_id * 100 + turn AS arrival,
   concat('<', CAST((conv_id * 7 + turn) % 192 AS VARCHAR), '>',
     CASE WHEN conv_id % 5 = 0 THEN 'Oct 11 22:14:15 '
          WHEN conv_id % 5 = 1 THEN ''
@@ -44,7 +44,7 @@ SELECT concat('h', CAST(conv_id % 8 AS VARCHAR)) AS host, conv_id * 100 + turn A
   CAST(conv_id * 60 AS BIGINT) AS recv_sec, CAST(turn * 1000000 AS INTEGER) AS recv_nsec
 FROM conversations""",
     "raw_queue": r"""
-SELECT concat('h', CAST(o_custkey % 8 AS VARCHAR)) AS host, o_orderkey AS arrival,
+SELECT concat('h', CAST(o_custkey % 25 AS VARCHAR)) AS host, o_orderkey AS arrival,
   CAST(o_orderkey % 5000 AS BIGINT) AS tstamp_sec,
   CAST((o_orderkey * 7919) % 1000000000 AS INTEGER) AS tstamp_nsec,
   CAST(o_orderkey % 256 AS INTEGER) AS prio,
@@ -58,16 +58,16 @@ FROM orders""",
 SELECT concat('h', CAST(n_nationkey AS VARCHAR)) AS host,
   CAST(1704067200000000 + 1296000000000 AS BIGINT) AS real_now_us,
   CAST(1296000000000 + CAST(n_nationkey AS BIGINT) * 1000000 AS BIGINT) AS boot_now_us
-FROM nation WHERE n_nationkey < 8""",
+FROM nation""",
     "cursor_t": """
 SELECT concat('h', CAST(n_nationkey AS VARCHAR)) AS host,
   CAST(CASE WHEN n_nationkey = 7 THEN 0 ELSE 100 * (n_nationkey + 1) END AS DECIMAL(20,0)) AS seqno
-FROM nation WHERE n_nationkey < 8""",
+FROM nation""",
     "volume": """
 SELECT concat('h', CAST(n_nationkey AS VARCHAR)) AS host,
   CAST(4096 AS BIGINT) AS frsize, CAST(64 * (n_nationkey + 1) AS BIGINT) AS blocks,
-  CAST(131072 AS BIGINT) AS max_size, CAST(2 + n_nationkey % 3 AS INTEGER) AS max_rot
-FROM nation WHERE n_nationkey < 8""",
+  CAST(16384 AS BIGINT) AS max_size, CAST(2 + n_nationkey % 3 AS INTEGER) AS max_rot
+FROM nation""",
 }
 
 
@@ -88,9 +88,8 @@ def prio_ok(x: str) -> str:
 
 
 
-def _syslog_parse(source: str, pb: str) -> str:
-    """Syslog parse over ``source``; ``pb`` is the number of bytes of a
-    character cut by the read buffer at the end of the datagram."""
+def _syslog_parse(source: str) -> str:
+    """Syslog parse over ``source``."""
     return rf"""
 SELECT host, 'syslog' AS source, arrival, recv_sec AS tstamp_sec, recv_nsec AS tstamp_nsec,
   TRY_CAST({ulong('pt')} AS INTEGER) & 1016 AS facility,
@@ -103,8 +102,7 @@ SELECT host, 'syslog' AS source, arrival, recv_sec AS tstamp_sec, recv_nsec AS t
        WHEN NOT regexp_matches(rest, '^[\x21-\x39\x3b-\x7e \t]+(?::[\x21-\x39\x3b-\x7e\t][\x21-\x39\x3b-\x7e \t]*)*: (?s:.)') THEN 'no_body_mark'
        WHEN regexp_extract(rest, ': ([^\n\x00]*)', 1) = '' THEN 'empty_body'
        WHEN regexp_extract(regexp_extract(head, '([^ ]*)$', 1), '^([^\[]*)', 1) = '' THEN 'bad_tag'
-  END AS reason,
-  CAST({pb} AS INTEGER) AS pb
+  END AS reason
 FROM (SELECT *, CASE WHEN strpos(rest, ': ') > 0 THEN substr(rest, 1, strpos(rest, ': ') - 1) ELSE '' END AS head
       FROM (SELECT *, substr(raw, length(pt) + 3) AS rest
             FROM (SELECT *, regexp_extract(raw, '^<({SP}*[+-]?[0-9]+)>', 1) AS pt FROM {source})))"""
@@ -129,25 +127,11 @@ SELECT host, 'kernel' AS source, arrival,
        WHEN np < 4 OR NOT {num_ok('tt', 20)} THEN 'bad_time'
        WHEN NOT regexp_matches(rest, '^[^;]+;') THEN 'no_header_end'
        WHEN NOT regexp_matches(rest, '^[^;]+;[^\n]+\n') THEN 'no_body'
-  END AS reason,
-  CAST(0 AS INTEGER) AS pb
+  END AS reason
 FROM (SELECT host, arrival, raw, len(p) AS np, p[1] AS pt, p[2] AS st, p[3] AS tt,
              CASE WHEN len(p) >= 4 THEN array_to_string(p[4:], ',') END AS rest
       FROM (SELECT host, arrival, raw, string_split(raw, ',') AS p FROM raw_kernel))""",
-    "sparse": _syslog_parse("raw_syslog", "0"),
-    "sparse_c": _syslog_parse("raw_syslog_c", "pb"),
-    # The read buffer keeps 1024 bytes of a datagram. Spark keeps the bytes
-    # of a character cut at the limit; they come back as one U+FFFD, so
-    # the oracle ends such a datagram with U+FFFD and remembers in ``pb``
-    # how many bytes it stands for (line sizes are corrected below).
-    "raw_syslog_c": """
-SELECT host, arrival, sender_pid, recv_sec, recv_nsec,
-  CASE WHEN strlen(raw) <= 1024 THEN raw
-       ELSE concat(left(raw, k), CASE WHEN strlen(left(raw, k)) < 1024 THEN chr(65533) ELSE '' END) END AS raw,
-  CASE WHEN strlen(raw) <= 1024 THEN 0 ELSE 1024 - strlen(left(raw, k)) END AS pb
-FROM (SELECT *, CASE WHEN strlen(raw) > 1024 THEN
-        list_max(list_filter(range(0, length(raw) + 1), lambda x: strlen(left(raw, x)) <= 1024)) END AS k
-      FROM raw_syslog)""",
+    "sparse": _syslog_parse("raw_syslog"),
     "qparse": r"""
 SELECT host, 'queue' AS source, arrival, tstamp_sec, tstamp_nsec,
   prio & 1016 AS facility, prio & 7 AS severity,
@@ -158,14 +142,13 @@ SELECT host, 'queue' AS source, arrival, tstamp_sec, tstamp_nsec,
        WHEN tag_len < 0 OR tag_len > strlen(data) - 1
             OR regexp_extract(substr(data, greatest(tag_len, 0) + 1), '^([^\n\x00]*)', 1) = ''
          THEN 'bad_message'
-  END AS reason,
-  CAST(0 AS INTEGER) AS pb
+  END AS reason
 FROM raw_queue""",
 }
 
 STAGES = {
-    "parsed": "SELECT * FROM kparse UNION ALL SELECT * FROM sparse_c UNION ALL SELECT * FROM qparse",
-    "good": f"SELECT {LOG_SELECT}, pb FROM parsed WHERE reason IS NULL",
+    "parsed": "SELECT * FROM kparse UNION ALL SELECT * FROM sparse UNION ALL SELECT * FROM qparse",
+    "good": f"SELECT {LOG_SELECT} FROM parsed WHERE reason IS NULL",
     "kgood": f"SELECT {LOG_SELECT} FROM kparse WHERE reason IS NULL",
     "clock": """
 SELECT host, boot_now_us // 1000000 AS now_sec, CAST((boot_now_us % 1000000) * 1000 AS INTEGER) AS now_nsec,
@@ -179,25 +162,20 @@ WHERE g.seqno IS NULL OR c.seqno IS NULL OR c.seqno = 0 OR g.seqno > c.seqno""",
 SELECT g.host, g.source, g.arrival,
   CASE WHEN later THEN now_sec ELSE tstamp_sec END AS tstamp_sec,
   CASE WHEN later THEN now_nsec ELSE tstamp_nsec END AS tstamp_nsec,
-  facility, severity, tag, pid, seqno, body, pb
+  facility, severity, tag, pid, seqno, body
 FROM (SELECT g.*, k.now_sec, k.now_nsec,
         coalesce(g.source = 'kernel' AND (g.tstamp_sec > k.now_sec
           OR (g.tstamp_sec = k.now_sec AND g.tstamp_nsec > k.now_nsec)), false) AS later
       FROM cursored g LEFT JOIN clock k ON g.host = k.host) g""",
-    "deduped": f"""
-SELECT {LOG_SELECT}, pb FROM (
-  SELECT *, row_number() OVER (PARTITION BY host, source, tstamp_sec, tstamp_nsec, facility,
-                                 severity, tag, pid, body ORDER BY arrival) AS dup_rn
-  FROM clamped) WHERE dup_rn = 1""",
     "walled": """
 SELECT d.host, d.source, d.arrival,
   d.tstamp_sec + coalesce(k.off_sec, 0) + CASE WHEN d.tstamp_nsec + coalesce(k.off_nsec, 0) >= 1000000000 THEN 1 ELSE 0 END AS tstamp_sec,
   CAST((d.tstamp_nsec + coalesce(k.off_nsec, 0)) % 1000000000 AS INTEGER) AS tstamp_nsec,
-  d.facility, d.severity, d.tag, d.pid, d.seqno, d.body, d.pb
-FROM deduped d LEFT JOIN clock k ON d.host = k.host""",
+  d.facility, d.severity, d.tag, d.pid, d.seqno, d.body
+FROM clamped d LEFT JOIN clock k ON d.host = k.host""",
     "lines": """
 SELECT *,
-  strlen(line) - CASE WHEN pb > 0 AND ends_with(body, chr(65533)) THEN 3 - pb ELSE 0 END AS line_bytes,
+  strlen(line) AS line_bytes,
   CASE source WHEN 'kernel' THEN 0 WHEN 'syslog' THEN 1 ELSE 2 END AS source_rank
 FROM (SELECT *,
   concat('<', CAST(facility | severity AS VARCHAR), '>', ts,
@@ -234,14 +212,13 @@ WHERE rotation < frot""",
 
 # Which CTEs each stage needs, in order.
 _ORDER = ["raw_kernel", "raw_syslog", "raw_queue", "boot_clock", "cursor_t", "volume",
-          "raw_syslog_c", "kparse", "sparse", "sparse_c", "qparse", "parsed", "good", "kgood", "clock", "cursored",
-          "clamped", "deduped", "walled", "lines", "sizes", "pk_in", "pk", "packed", "rotated"]
+          "kparse", "sparse", "qparse", "parsed", "good", "kgood", "clock", "cursored",
+          "clamped", "walled", "lines", "sizes", "pk_in", "pk", "packed", "rotated"]
 _DEPS = {
     "kparse": ["raw_kernel"], "sparse": ["raw_syslog"], "qparse": ["raw_queue"],
-    "raw_syslog_c": ["raw_syslog"], "sparse_c": ["raw_syslog_c"],
-    "parsed": ["kparse", "sparse_c", "qparse"], "good": ["parsed"], "kgood": ["kparse"],
+    "parsed": ["kparse", "sparse", "qparse"], "good": ["parsed"], "kgood": ["kparse"],
     "clock": ["boot_clock"], "cursored": ["good", "cursor_t"], "clamped": ["cursored", "clock"],
-    "deduped": ["clamped"], "walled": ["deduped", "clock"], "lines": ["walled"],
+    "walled": ["clamped", "clock"], "lines": ["walled"],
     "sizes": ["volume"], "pk_in": ["lines", "sizes"], "pk": ["pk_in"],
     "packed": ["pk_in", "pk"], "rotated": ["packed"],
 }
@@ -277,8 +254,8 @@ ORACLE = {
     "read_syslog_records": with_ctes(["raw_syslog"], "SELECT * FROM raw_syslog"),
     "read_queue_records": with_ctes(["raw_queue"], "SELECT * FROM raw_queue"),
     "cap_payload": with_ctes(["raw_kernel"], """
-SELECT host, arrival, CASE WHEN strlen(raw) > 1024 THEN left(raw, 1024) ELSE raw END AS raw,
-  strlen(raw) > 1024 AS truncated FROM raw_kernel"""),
+SELECT host, arrival, CASE WHEN strlen(raw) > 64 THEN left(raw, 64) ELSE raw END AS raw,
+  strlen(raw) > 64 AS truncated FROM raw_kernel"""),
     "split_priority": with_ctes(["raw_kernel"], f"""
 SELECT host, arrival, ok AS prio_ok,
   CASE WHEN ok THEN TRY_CAST({ulong('pt')} AS INTEGER) & 1016 END AS facility,
@@ -327,7 +304,9 @@ SELECT {KEY}, row_number() OVER (PARTITION BY host ORDER BY tstamp_sec, tstamp_n
 FROM good"""),
     "drop_duplicates": with_ctes(["good"], f"""
 SELECT {LOG} FROM (SELECT *, row_number() OVER (PARTITION BY host, source, tstamp_sec, tstamp_nsec,
-  facility, severity, tag, pid, body ORDER BY arrival) AS rn FROM good) WHERE rn = 1"""),
+  facility, severity, tag, pid, seqno, body ORDER BY arrival) AS rn FROM (
+    SELECT * FROM good UNION ALL
+    SELECT * REPLACE (arrival + 1000000000 AS arrival) FROM good WHERE arrival % 5 = 0)) WHERE rn = 1"""),
     "boot_offsets": with_ctes(["clock"], "SELECT host, off_sec, off_nsec FROM clock"),
     "to_wall_clock": with_ctes(["good", "clock"], f"""
 SELECT host, source, arrival,

@@ -25,7 +25,7 @@ from ..operators.quality import (count_rejects, drop_malformed, quarantine_malfo
                                  severity_at_most)
 from ..functions.priority import format_priority as format_priority_col
 from ..functions.timefmt import format_rfc3339 as format_rfc3339_col
-from ..schema import LOG_COLUMNS, PAYLOAD_MAX_BYTES
+from ..schema import LOG_COLUMNS
 from ..session import scratch_path
 from ..sources import captures
 from ..sources.records import (cap_payload, read_kernel_records, read_queue_records,
@@ -36,6 +36,7 @@ from .archive import archive_lines, build_log_archive, parse_all
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Fixed query parameters.
+CAP_BYTES = 64  # some kernel records are longer
 TAKE_MAX_BYTES = 4096
 TAKE_MAX_ROWS = 48
 SEVERITY_MAX = 4
@@ -88,7 +89,7 @@ def q_read_queue_records(spark, sf):
 
 
 def q_cap_payload(spark, sf):
-    out = cap_payload(captures.raw_kernel(spark, sf), "raw", PAYLOAD_MAX_BYTES)
+    out = cap_payload(captures.raw_kernel(spark, sf), "raw", CAP_BYTES)
     return out.select("host", "arrival", "raw", "truncated")
 
 
@@ -165,7 +166,9 @@ def q_order_by_time(spark, sf):
 
 
 def q_drop_duplicates(spark, sf):
-    return drop_duplicates(_good(spark, sf))
+    good = _good(spark, sf)
+    again = good.where(F.col("arrival") % 5 == 0).withColumn("arrival", F.col("arrival") + 1000000000)
+    return drop_duplicates(merge_sources(good, again))
 
 
 # --- time ---------------------------------------------------------------------

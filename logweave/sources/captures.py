@@ -21,9 +21,9 @@ from pyspark.sql import types as T
 
 from ..session import spread
 
-# Fixed capture rules: 8 hosts; the kernel time origin 2024-01-01T00:00:00Z
+# Fixed capture rules: 25 hosts, one for each nation; the kernel time origin 2024-01-01T00:00:00Z
 # in microseconds; the boot clock sits 15 days (1296000 s) after it.
-HOSTS = 8
+HOSTS = 25
 KERNEL_EPOCH_US = 1704067200000000
 BOOT_SPAN_US = 1296000000000
 
@@ -141,7 +141,7 @@ def raw_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "nation", spread_rows=False).where(F.col("n_nationkey") < HOSTS)
+    return _table(spark, sf_dir, "nation", spread_rows=False)
 
 
 @_once
@@ -171,7 +171,7 @@ def volume(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("h"), _s(n)).alias("host"),
         F.lit(4096).cast("bigint").alias("frsize"),
         (F.lit(64) * (n + 1)).cast("bigint").alias("blocks"),
-        F.lit(131072).cast("bigint").alias("max_size"),
+        F.lit(16384).cast("bigint").alias("max_size"),
         (F.lit(2) + n % 3).cast("int").alias("max_rot"))
 
 

@@ -31,9 +31,8 @@ from ..operators.packing import assign_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
 from ..plans.archive import TIME_REASON, archive_lines
-from ..schema import PAYLOAD_MAX_BYTES, ROTATIONS_DEFAULT
+from ..schema import ROTATIONS_DEFAULT
 from ..session import bounded_broadcast, scratch_path
-from ..sources.records import cap_payload
 from ..sources.sink import write_log_files
 from .sources import spool, stream_records
 
@@ -82,9 +81,11 @@ def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
         manifest = _previous_snapshot(spark, f"{state}/manifest", MANIFEST_DDL, batch_id)
         cursor = _previous_snapshot(spark, f"{state}/cursor", CURSOR_DDL, batch_id)
 
-    parsed = batch.persist()
+    parsed, lines = batch.persist(), None
     try:
-        lines = archive_lines(parsed, clocks, cursor).persist()
+        # the start cursor, in every batch: a late record is not an old one,
+        # and the streaming checkpoint sees to replays
+        lines = archive_lines(parsed, clocks, cursor0).persist()
         sizes = effective_file_size(volume)
         packed = assign_log_files(lines.where(F.col("line").isNotNull()), sizes=sizes,
                                   state=manifest_state(manifest))
@@ -99,8 +100,9 @@ def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
         kernel_good = drop_malformed(parsed).where(F.col("source") == "kernel")
         advance_cursor(kernel_good, cursor).write.mode("overwrite").parquet(
             f"{state}/cursor/batch={batch_id}")
-        lines.unpersist()
     finally:
+        if lines is not None:
+            lines.unpersist()
         parsed.unpersist()
 
 
@@ -109,14 +111,11 @@ def parsed_streams(spark: SparkSession, kernel_path: str | None, syslog_path: st
     """The three capture streams parsed (with ``reason``) and unioned."""
     parts = []
     if kernel_path:
-        parts.append(parse_kernel(cap_payload(stream_records(spark, kernel_path, "kernel", max_files),
-                                              "raw", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_kernel(stream_records(spark, kernel_path, "kernel", max_files)))
     if syslog_path:
-        parts.append(parse_syslog(cap_payload(stream_records(spark, syslog_path, "syslog", max_files),
-                                              "raw", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_syslog(stream_records(spark, syslog_path, "syslog", max_files)))
     if queue_path:
-        parts.append(parse_queue(cap_payload(stream_records(spark, queue_path, "queue", max_files),
-                                             "data", PAYLOAD_MAX_BYTES)))
+        parts.append(parse_queue(stream_records(spark, queue_path, "queue", max_files)))
     return merge_sources(*parts)
 
 
