@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from logweave.operators.files import effective_file_size
 from logweave.operators.order import with_source_rank
-from logweave.plans.archive import build_log_archive, parse_all, write_archive
+from logweave.plans.archive import archive_lines, build_log_archive, parse_all, write_archive
 from logweave.session import scratch_path
 from logweave.sources import captures
 from logweave.sources.sink import read_log_files
@@ -108,3 +108,17 @@ def test_one_large_file_is_written_by_several_tasks_in_order(spark):
     assert len(parts) > 1
     text = "".join(open(p).read() for p in parts)
     assert text.splitlines() == [f"<6>ts line {k:05d}" for k in range(n)]
+
+
+def test_clamped_and_long_records_are_kept(spark):
+    long = "6,4,9000000,-;" + "x" * 1500 + "\n"
+    raw = spark.createDataFrame([("h", i, f"6,{i},{9_000_000 + i},-;same\n") for i in (1, 2, 3)] + [("h", 4, long)],
+                                "host string, arrival bigint, raw string")
+    clocks = spark.createDataFrame([("h", 1700000000000000, 1000000)],
+                                   "host string, real_now_us bigint, boot_now_us bigint")
+    parsed = parse_all(raw, None, None)
+    for dedupe in (False, True):
+        lines = archive_lines(parsed, clocks, None, dedupe).collect()
+        assert len(lines) == 4 and max(len(r["body"]) for r in lines) == 1500
+    # a cap is there for who asks for it
+    assert parse_all(raw, None, None, 1024).where("reason is not null").count() == 1

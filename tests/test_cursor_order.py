@@ -55,13 +55,18 @@ def test_number_lines_hot_host(spark):
 
 
 def test_drop_duplicates(spark):
-    rows = [_row("h", 7, 30, sec=1, body="x"), _row("h", 8, 20, sec=1, body="x"),
+    rows = [_row("h", 8, 30, sec=1, body="x"), _row("h", 8, 20, sec=1, body="x"),
+            _row("h", 7, 25, sec=1, body="x2"), _row("h", 6, 26, sec=1, body="x2"),
             _row("h", 9, 10, sec=1, body="y")] + [_row("h", None, 100 + i, "queue", 2) for i in range(1000)]
-    out = {(r["body"], r["source"]): (r["arrival"], r["seqno"]) for r in drop_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    kept = drop_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    # different sequence numbers are different records
+    assert {r["seqno"] for r in kept if r["body"] == "x2"} == {Decimal(7), Decimal(6)}
+    kept = [r for r in kept if r["body"] != "x2"]
+    out = {(r["body"], r["source"]): (r["arrival"], r["seqno"]) for r in kept}
     assert out[("x", "kernel")] == (20, Decimal(8))
     assert out[("y", "kernel")] == (10, Decimal(9))
     assert out[("b", "queue")] == (100, None)
-    assert len(out) == 3
+    assert len(out) == len(kept) == 3
 
 
 def test_clamp_and_wall_clock(spark):
