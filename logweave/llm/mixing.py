@@ -26,6 +26,9 @@ MOST = 3
 BLOCK = 64
 SHARD = 1024
 SHUFFLE_ROUNDS = 12
+#: Shards that one row stands for before they are told apart, and that one
+#: task expands to slots.
+SHARDS_PER_ROW, SHARDS_PER_TASK = 4096, 256
 
 
 def n_words(text: str = "text") -> Column:
@@ -82,8 +85,15 @@ def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int =
             .withColumn("_want", F.col("target") * F.col("blocks") / F.col("source_size"))
             .withColumn("_all", F.sum("_want").over(Window.partitionBy()))
             .withColumn("_shards", F.ceil(F.col("_all") / shard).cast("bigint")))
-    expected = rows.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_shards") - 1))) \
-        .withColumn("_mean", F.col("_want") / F.col("_shards")) \
+    # a task expands a bounded number of shards, however many there are
+    rows = stored(rows, "wants")
+    tasks = (rows.agg(F.max("_shards")).first()[0] or 0) // SHARDS_PER_TASK + 1
+    apart = (rows.withColumn("_from", F.explode(F.sequence(
+                F.lit(0).cast("bigint"), F.col("_shards") - 1, F.lit(SHARDS_PER_ROW).cast("bigint"))))
+             .repartition(tasks, "_name", "_from")
+             .withColumn("shard", F.explode(F.sequence(
+                 F.col("_from"), F.least("_shards", F.col("_from") + SHARDS_PER_ROW) - 1))))
+    expected = apart.withColumn("_mean", F.col("_want") / F.col("_shards")) \
         .withColumn("_whole", F.floor("_mean")).withColumn("_rest", F.col("_mean") - F.col("_whole"))
     in_shard = Window.partitionBy("shard").orderBy("_name").rowsBetween(Window.unboundedPreceding, 0)
     drawn = (expected.withColumn("_upto", F.sum("_rest").over(in_shard))
@@ -94,10 +104,10 @@ def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int =
                  & (_uniform(F.lit("draw"), "shard", i) * F.col("_rests") < F.col("_upto"))
                  & (_uniform(F.lit("draw"), "shard", i) * F.col("_rests") >= F.col("_upto") - F.col("_rest"))))))
              .withColumn("_count", F.col("_whole") + F.col("_hits")))
-    over_shards = Window.partitionBy("_name").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    placed = drawn.withColumn("_first", F.coalesce(F.sum("_count").over(over_shards), F.lit(0)))
+    # a source's shards are numbered in any fixed order, so by chunks
+    placed = before(stored(drawn.drop("_draws"), "drawn"), "_name", ["shard"], F.col("_count"), "_first")
     last = F.least(F.col("_first") + F.col("_count"), F.col("blocks") * most)
-    each = (placed.withColumn("_last", last).where("_last > _first")
+    each = (placed.withColumn("_last", last).where("_last > _first").repartition(tasks, "shard")
             .withColumn("_slot", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))
             .withColumn("pass", F.floor(F.col("_slot") / F.col("blocks")).cast("int")))
     return each.select("shard", "source", "pass", permuted(
@@ -123,7 +133,7 @@ def mix_sources(docs: DataFrame, block: int = BLOCK, shard: int = SHARD) -> tupl
            .withColumn("words", F.least("size", (F.col("index") + 1) * block - F.col("_start")) - F.col("first")))
     blocks = cut.select("source", "index", "doc_id", "_k1", "_k2", "_start", "first", "words")
     stretches = (blocks.alias("b").join(
-        use.alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.index") == F.col("u.index")))
+        use.hint("merge").alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.index") == F.col("u.index")))
         .select("b.doc_id", "b.source", "b._k1", "b._k2", "b._start", "b.first", "b.words", "u.pass", "u.shard"))
     shares = shares.select(F.col("source").alias("_s"), "source_size", "target")
     out = placed.join(shares, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
