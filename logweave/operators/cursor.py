@@ -79,7 +79,7 @@ def _gaps_in_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if last_key is not None:
             prev_vals[0] = last_val
             same[0] = (hosts[0], chunks[0]) == last_key
-        gap = same & (vals > prev_vals + np.uint64(1))
+        gap = same & (vals - prev_vals > np.uint64(1))  # sorted: never below zero where same
         last_key, last_val = (hosts[-1], chunks[-1]), vals[-1]
         if gap.any():
             p, n = prev_vals[gap], vals[gap]
@@ -96,11 +96,12 @@ def sequence_gaps(df: DataFrame, num_chunks: int | None = None) -> DataFrame:
     """Kernel records lost between two logged ones (ring buffer overrun):
     per host ``gap_from``, ``gap_to`` and ``missing`` (count).
 
-    Distinct sequence numbers are range partitioned into ordered chunks;
+    Sequence numbers are range partitioned into ordered chunks (repeated
+    ones are neighbours there, which is no gap);
     gaps inside a chunk come from a vectorised scan, gaps across chunk
     borders from the one-row-per-chunk table of first and last numbers.
     """
-    seq = (df.where(F.col("seqno").isNotNull()).select("host", "seqno").distinct()
+    seq = (df.where(F.col("seqno").isNotNull()).select("host", "seqno")
            .withColumns({"_hi": _hi(F.col("seqno")), "_lo": _lo(F.col("seqno"))}))
     chunks = ordered_chunks(seq, ["host"], ["seqno"], num_chunks)
     narrow, _ = strings_as_bytes(chunks.select("host", CHUNK, "_hi", "_lo"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import FILE_SIZE_MAX, TIME_ORDER
-from ..session import same_size, small_side
+from ..schema import FILE_SIZE_MAX, ROTATIONS_DEFAULT, TIME_ORDER
+from ..session import bounded_broadcast, same_size, small_side
 from .order import with_source_rank
-from .ordered import number_within
+from .ordered import CHUNK, ROW_ID, chunk_offsets, ordered_chunks
 
 
 def _int_div(a: Column, b: Column) -> Column:
@@ -37,26 +37,20 @@ def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:
     lines whose ``line_bytes`` add up to at most ``max_bytes``; empty when
     the first line alone is too long. Adds ``take_no`` and ``cum_bytes``.
 
-    Up to Spark's window group limit threshold (1000 by default) the row
-    limit is a per-host top-k that Spark evaluates partially before the
-    shuffle, so at most ``max_rows`` rows per host and task cross the
-    network. Above it the rows are numbered over ordered chunks (no host in
-    one task) and cut there. Either way the running sum then sees at most
-    ``max_rows`` rows per host.
+    Lines are numbered and summed over ordered chunks, so no host is in one
+    task; chunks that begin beyond a limit are left out unread.
     """
-    ranked = with_source_rank(df)
-    w = Window.partitionBy("host").orderBy(*TIME_ORDER)
-    threshold = int(df.sparkSession.conf.get(
-        "spark.sql.optimizer.windowGroupLimitThreshold", "1000") or 1000)
-    if max_rows <= threshold:
-        top = (ranked.withColumn("take_no", F.row_number().over(w).cast("bigint"))
-               .where(F.col("take_no") <= max_rows))
-    else:
-        top = number_within(ranked, ["host"], TIME_ORDER, "take_no").where(
-            F.col("take_no") <= max_rows)
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (top.withColumn("cum_bytes", F.sum("line_bytes").over(running))
-            .where(F.col("cum_bytes") <= max_bytes))
+    chunks = ordered_chunks(with_source_rank(df), ["host"], TIME_ORDER, row_ids=True)
+    offsets = chunk_offsets(chunks, ["host"], {"_bytes": "line_bytes"}).where(
+        (F.col("_rows_before") < max_rows) & (F.col("_bytes_before") <= max_bytes))
+    within = Window.partitionBy("host", CHUNK).orderBy(ROW_ID).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    take_no = F.col("_rows_before") + F.col(ROW_ID) - F.col("_first_id") + 1
+    return (chunks.join(small_side(offsets), ["host", CHUNK])
+            .withColumn("take_no", take_no.cast("bigint")).where(F.col("take_no") <= max_rows)
+            .withColumn("cum_bytes", (F.col("_bytes_before") + F.sum("line_bytes").over(within)).cast("bigint"))
+            .where(F.col("cum_bytes") <= max_bytes)
+            .drop(CHUNK, ROW_ID, "_rows_before", "_first_id", "_bytes_before"))
 
 
 def keep_rotations(df: DataFrame, max_rot: int | str = 2,
@@ -91,6 +85,21 @@ def file_manifest(df: DataFrame) -> DataFrame:
                       F.col("_last.s").alias("last_sec"), F.col("_last.n").alias("last_nsec"))
 
 
+def merge_manifests(old: DataFrame, new: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The stats per file of two runs added up, without the files that are
+    rotated out by now. ``sizes``: per host ``max_rot``."""
+    both = old.unionByName(new).groupBy("host", "file_no").agg(
+        F.sum("bytes").cast("bigint").alias("bytes"), F.sum("lines").cast("bigint").alias("lines"),
+        F.min(F.struct("first_sec", "first_nsec")).alias("_f"),
+        F.max(F.struct("last_sec", "last_nsec")).alias("_l"))
+    both = both.select("host", "file_no", "bytes", "lines", "_f.*", "_l.*")
+    newest = both.groupBy("host").agg(F.max("file_no").alias("_newest"))
+    rot = bounded_broadcast(sizes).select("host", F.col("max_rot").alias("_rot"))
+    kept = (both.join(newest, "host").join(rot, "host", "left")
+            .where(F.col("_newest") - F.col("file_no") < F.coalesce(F.col("_rot"), F.lit(ROTATIONS_DEFAULT))))
+    return kept.drop("_newest", "_rot")
+
+
 def manifest_state(manifest: DataFrame) -> DataFrame:
     """Start state for the next packing run: per host the newest file's
     number and bytes (``host, file_no, bytes``)."""

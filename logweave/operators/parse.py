@@ -46,14 +46,17 @@ def _first_failure(rules: list[tuple[str, Column]]) -> Column:
 
 
 def _finish(df: DataFrame, cols: dict[str, Column], reason: Column,
-            keep: list[str] | None, source: str) -> DataFrame:
-    """The parsed rows, observed: record and reject counts per run are
+            keep: list[str] | None, source: str, metrics: bool) -> DataFrame:
+    """The parsed rows; with ``metrics`` observed: record and reject counts per run are
     reported as metrics of the query. The observation also ends the parse
     for the optimizer, so a later filter on ``reason`` is not pushed into
-    the parse projections (which would evaluate them twice)."""
+    the parse projections (which would evaluate them twice). Without, filters
+    on ``host`` and ``arrival`` reach the scan."""
     extra = [F.col(c) for c in (keep or [])]
     out = df.select(*[cols[name].alias(name) for name in LOG_COLUMNS],
                     reason.alias(REASON), *extra)
+    if not metrics:
+        return out
     return out.observe(f"parse_{source}_{uuid.uuid4().hex[:12]}",
                        F.count(F.lit(1)).alias("records"),
                        F.count(F.col(REASON)).alias("rejects"))
@@ -65,7 +68,7 @@ def _plain_number(text: Column) -> Column:
     return ~text.contains("-") & (F.char_length(text) <= 18)
 
 
-def parse_kernel(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def parse_kernel(raw: DataFrame, keep: list[str] | None = None, metrics: bool = True) -> DataFrame:
     """Kernel records (``host, arrival, raw``) to log rows with ``reason``.
 
     Record form: ``PRIO,SEQNO,USEC,FLAGS[,MORE...];BODY\\n[ KEY=value\\n...]``.
@@ -126,10 +129,10 @@ def parse_kernel(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "seqno": seq,
         "body": F.col("_body"),
     }
-    return _finish(checked, cols, F.col("_reason"), keep, "kernel")
+    return _finish(checked, cols, F.col("_reason"), keep, "kernel", metrics)
 
 
-def parse_syslog(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def parse_syslog(raw: DataFrame, keep: list[str] | None = None, metrics: bool = True) -> DataFrame:
     """Syslog datagrams (``host, arrival, raw, sender_pid, recv_sec,
     recv_nsec``) to log rows with ``reason``.
 
@@ -178,10 +181,10 @@ def parse_syslog(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "seqno": F.lit(None).cast("decimal(20,0)"),
         "body": F.col("_body"),
     }
-    return _finish(staged, cols, reason, keep, "syslog")
+    return _finish(staged, cols, reason, keep, "syslog", metrics)
 
 
-def parse_queue(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def parse_queue(raw: DataFrame, keep: list[str] | None = None, metrics: bool = True) -> DataFrame:
     """Typed queue messages to log rows with ``reason``.
 
     The first ``tag_len`` bytes of ``data`` are the tag (none when 0), the
@@ -215,7 +218,7 @@ def parse_queue(raw: DataFrame, keep: list[str] | None = None) -> DataFrame:
         "seqno": F.lit(None).cast("decimal(20,0)"),
         "body": F.col("_body"),
     }
-    return _finish(staged, cols, reason, keep, "queue")
+    return _finish(staged, cols, reason, keep, "queue", metrics)
 
 
 def _accepted(df: DataFrame) -> DataFrame:

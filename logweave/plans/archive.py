@@ -13,12 +13,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.clock import boot_offsets, clamp_future, to_wall_clock
 from ..operators.cursor import advance_cursor, after_cursor
-from ..operators.files import effective_file_size, file_manifest, keep_rotations
+from ..operators.files import (effective_file_size, file_manifest, keep_rotations, manifest_state,
+                               merge_manifests)
 from ..operators.lines import format_lines
 from ..operators.order import drop_duplicates, merge_sources
 from ..operators.packing import pack_log_files
@@ -30,11 +31,14 @@ from ..sources.records import cap_payload
 from ..sources.sink import write_log_files
 
 TIME_REASON = "time_range"
+MANIFEST_DDL = ("host string, file_no bigint, bytes bigint, lines bigint, first_sec bigint, "
+                "first_nsec int, last_sec bigint, last_nsec int")
 
 
 @dataclass
 class Archive:
-    """The outputs of one archive run, as lazy DataFrames."""
+    """The outputs of one archive run, as DataFrames. The manifest and the
+    cursor are the whole state after the run."""
     lines: DataFrame        # host, file_no, rotation, log row, line, line_bytes
     quarantine: DataFrame   # host, source, arrival, reason
     manifest: DataFrame     # host, file_no, bytes, lines, first/last time
@@ -72,42 +76,81 @@ def archive_lines(parsed: DataFrame, clocks: DataFrame, cursor: DataFrame | None
     return format_lines(to_wall_clock(good, boot_offsets(clocks)))
 
 
+def newest_files(packed: DataFrame, newest: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The lines of the files that each host keeps, with ``rotation``."""
+    rot = same_size(sizes, bounded_broadcast(sizes).select("host", F.col("max_rot").alias("_max_rot")))
+    return keep_rotations(packed.join(rot, "host", "left").fillna({"_max_rot": ROTATIONS_DEFAULT}),
+                          "_max_rot", newest=newest).drop("_max_rot")
+
+
 def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None,
                       queue_raw: DataFrame | None, clocks: DataFrame,
                       cursor: DataFrame | None, volume: DataFrame,
                       state: DataFrame | None = None, dedupe: bool = False,
-                      num_chunks: int | None = None, max_bytes: int | None = None) -> Archive:
+                      num_chunks: int | None = None, max_bytes: int | None = None,
+                      manifest: DataFrame | None = None) -> Archive:
     """The whole batch job as DataFrames. The packing's checkpoints and the
-    size checks run here; the outputs are computed when they are read."""
+    size checks run here; the outputs are computed when they are read.
+
+    ``manifest`` is that of the run before: its newest files are continued,
+    and the new manifest holds both runs. ``state`` (``host, file_no,
+    bytes``) alone continues files whose earlier lines the manifest then
+    doesn't know."""
+    if manifest is not None and state is None:
+        state = manifest_state(manifest)
     parsed = parse_all(kernel_raw, syslog_raw, queue_raw, max_bytes)
     lines = archive_lines(parsed, clocks, cursor, dedupe)
     sizes = effective_file_size(volume)
     printable = lines.where(F.col("line").isNotNull())
     packed, newest = pack_log_files(printable, sizes=sizes, state=state, num_chunks=num_chunks)
-    rot = same_size(sizes, bounded_broadcast(sizes).select("host", F.col("max_rot").alias("_max_rot")))
-    kept = keep_rotations(packed.join(rot, "host", "left")
-                          .fillna({"_max_rot": ROTATIONS_DEFAULT}), "_max_rot",
-                          newest=newest).drop("_max_rot")
+    kept = newest_files(packed, newest, sizes)
     quarantine = merge_sources(
         parsed.where(F.col(REASON).isNotNull()).select("host", "source", "arrival", REASON),
         lines.where(F.col("line").isNull()).select(
             "host", "source", "arrival", F.lit(TIME_REASON).alias(REASON)))
-    manifest = file_manifest(kept)
+    new_manifest = file_manifest(kept)
+    if manifest is not None:
+        new_manifest = merge_manifests(manifest, new_manifest, sizes)
     new_cursor = advance_cursor(
         drop_malformed(parsed).where(F.col("source") == "kernel"),
         cursor if cursor is not None else parsed.sparkSession.createDataFrame(
             [], "host string, seqno decimal(20,0)"))
-    return Archive(kept, quarantine, manifest, new_cursor)
-
-
-def write_archive(archive: Archive, path: str, mode: str = "overwrite") -> None:
-    """Write the lines as text files by host and rotation number, and the
-    quarantine, manifest and cursor as Parquet tables next to them."""
-    write_log_files(archive.lines, f"{path}/logs", by="rotation", mode=mode)
-    archive.quarantine.write.mode(mode).parquet(f"{path}/quarantine")
-    archive.manifest.write.mode(mode).parquet(f"{path}/manifest")
-    archive.cursor.write.mode(mode).parquet(f"{path}/cursor")
-
-
-__all__ = ["Archive", "archive_lines", "build_log_archive", "parse_all", "write_archive",
+    return Archive(kept, quarantine, new_manifest, new_cursor)
+
+
+def write_archive(archive: Archive, path: str, run: int = 0, mode: str = "overwrite") -> None:
+    """Write one run: the lines as text files by host and file number, and
+    the quarantine, manifest and cursor as Parquet tables. Every run has its
+    own folders (``batch=run``), so a run that is written again replaces
+    itself only. A log file is the part files of its number in run order;
+    which files are still kept is read off the newest manifest."""
+    write_log_files(archive.lines, f"{path}/logs/batch={run}", by="file_no", mode=mode)
+    archive.quarantine.write.mode(mode).parquet(f"{path}/quarantine/batch={run}")
+    archive.manifest.write.mode(mode).parquet(f"{path}/state/manifest/batch={run}")
+    archive.cursor.write.mode(mode).parquet(f"{path}/state/cursor/batch={run}")
+
+
+def read_manifest(spark: SparkSession, path: str, run: int) -> DataFrame:
+    """The manifest after ``run``, to start the next run from."""
+    return spark.read.schema(MANIFEST_DDL).parquet(f"{path}/state/manifest/batch={run}")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """The kept lines of an archive of one or more runs or micro-batches:
+    ``host, file_no, rotation, line`` (files rotated out by the newest
+    manifest are left out)."""
+    logs = (spark.read.schema("value string, batch bigint, host string, file_no bigint")
+            .option("lineSep", "\n").text(f"{path}/logs"))
+    snaps = spark.read.schema(f"{MANIFEST_DDL}, batch bigint").parquet(f"{path}/state/manifest")
+    newest_batch = snaps.agg(F.max("batch").alias("_b"))
+    manifest = snaps.join(F.broadcast(newest_batch), F.col("batch") == F.col("_b")).select("host", "file_no")
+    newest = manifest.groupBy("host").agg(F.max("file_no").alias("_newest"))
+    kept = logs.join(bounded_broadcast(manifest), ["host", "file_no"]).join(
+        bounded_broadcast(newest), "host")
+    return kept.select("host", "file_no", (F.col("_newest") - F.col("file_no")).alias("rotation"),
+                       F.concat(F.col("value"), F.lit("\n")).alias("line"))
+
+
+__all__ = ["Archive", "archive_lines", "build_log_archive", "newest_files", "parse_all",
+           "read_archive", "read_manifest", "write_archive",
            "LOG_COLUMNS"]

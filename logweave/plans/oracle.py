@@ -344,6 +344,9 @@ SELECT host, file_no, CAST(sum(line_bytes) AS BIGINT) AS bytes, count(*) AS line
 FROM (SELECT *, CAST(tstamp_sec AS HUGEINT) * 1000000000 + tstamp_nsec AS t FROM packed)
 GROUP BY host, file_no"""),
     "build_log_archive": with_ctes(["rotated"], f"SELECT {KEY}, file_no, rotation, line FROM rotated"),
+    # the walk goes through the first run's lines, then on through the second's
+    "archive_two_runs": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated").replace(
+        "ORDER BY l.tstamp_sec", "ORDER BY l.arrival % 2, l.tstamp_sec"),
     "write_log_files": with_ctes(["rotated"], "SELECT host, file_no, line FROM rotated"),
     "stream_records": with_ctes(["raw_kernel"], "SELECT host, arrival, raw FROM raw_kernel"),
     "stream_log_archive": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated"),

@@ -31,7 +31,8 @@ from ..sources import captures
 from ..sources.records import (cap_payload, read_kernel_records, read_queue_records,
                                read_syslog_records)
 from ..sources.sink import read_log_files, write_log_files
-from .archive import archive_lines, build_log_archive, parse_all
+from .archive import (archive_lines, build_log_archive, parse_all, read_archive, read_manifest,
+                      write_archive)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,6 +244,17 @@ def q_build_log_archive(spark, sf):
     return _archive(spark, sf).lines.select(*KEY, "file_no", "rotation", "line")
 
 
+def q_archive_two_runs(spark, sf):
+    """Records with even arrival numbers first, then the odd ones in a run
+    that starts from the manifest of the first."""
+    v, out, manifest = _views(spark, sf), scratch_path(spark, "two-runs"), None
+    for run in (0, 1):
+        raw = [v[name].where(F.col("arrival") % 2 == run) for name in ("raw_kernel", "raw_syslog", "raw_queue")]
+        write_archive(build_log_archive(*raw, v["boot_clock"], v["cursor"], v["volume"], manifest=manifest), out, run)
+        manifest = read_manifest(spark, out, run)
+    return read_archive(spark, out).select("host", "file_no", "rotation", "line")
+
+
 def q_write_log_files(spark, sf):
     path = scratch_path(spark, "logs")
     write_log_files(_archive(spark, sf).lines, path, by="file_no")
@@ -292,6 +304,7 @@ QUERIES: dict[str, Query] = {
     "keep_rotations": q_keep_rotations,
     "file_manifest": q_file_manifest,
     "build_log_archive": q_build_log_archive,
+    "archive_two_runs": q_archive_two_runs,
     "write_log_files": q_write_log_files,
     "stream_records": q_stream_records,
     "stream_log_archive": q_stream_log_archive,

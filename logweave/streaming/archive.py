@@ -25,19 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.cursor import advance_cursor
-from ..operators.files import effective_file_size, file_manifest, manifest_state
+from ..operators.files import effective_file_size, file_manifest, manifest_state, merge_manifests
 from ..operators.order import merge_sources
-from ..operators.packing import assign_log_files
+from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
-from ..plans.archive import TIME_REASON, archive_lines
-from ..schema import ROTATIONS_DEFAULT
-from ..session import bounded_broadcast, scratch_path
+from ..plans.archive import MANIFEST_DDL, TIME_REASON, archive_lines, newest_files, read_archive
+from ..session import scratch_path
 from ..sources.sink import write_log_files
 from .sources import spool, stream_records
 
-MANIFEST_DDL = ("host string, file_no bigint, bytes bigint, lines bigint, first_sec bigint, "
-                "first_nsec int, last_sec bigint, last_nsec int")
 CURSOR_DDL = "host string, seqno decimal(20,0)"
 
 
@@ -51,22 +48,6 @@ def _previous_snapshot(spark: SparkSession, path: str, ddl: str, batch_id: int)
     return spark.read.schema(ddl).parquet(f"{path}/batch={batch_id - 1}")
 
 
-def _merge_manifest(old: DataFrame, new: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Old and new per-file stats added up; files rotated out are dropped."""
-    both = old.unionByName(new).groupBy("host", "file_no").agg(
-        F.sum("bytes").cast("bigint").alias("bytes"), F.sum("lines").cast("bigint").alias("lines"),
-        F.min(F.struct("first_sec", "first_nsec")).alias("_f"),
-        F.max(F.struct("last_sec", "last_nsec")).alias("_l"))
-    both = both.select("host", "file_no", "bytes", "lines",
-                       F.col("_f.first_sec").alias("first_sec"), F.col("_f.first_nsec").alias("first_nsec"),
-                       F.col("_l.last_sec").alias("last_sec"), F.col("_l.last_nsec").alias("last_nsec"))
-    newest = both.groupBy("host").agg(F.max("file_no").alias("_newest"))
-    rot = sizes.select("host", F.col("max_rot").alias("_rot"))
-    kept = (both.join(newest, "host").join(rot, "host", "left")
-            .where(F.col("_newest") - F.col("file_no") < F.coalesce(F.col("_rot"), F.lit(ROTATIONS_DEFAULT))))
-    return kept.drop("_newest", "_rot")
-
-
 def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
                   cursor0: DataFrame | None, volume: DataFrame,
                   manifest0: DataFrame | None = None) -> None:
@@ -87,15 +68,16 @@ def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
         # and the streaming checkpoint sees to replays
         lines = archive_lines(parsed, clocks, cursor0).persist()
         sizes = effective_file_size(volume)
-        packed = assign_log_files(lines.where(F.col("line").isNotNull()), sizes=sizes,
-                                  state=manifest_state(manifest))
-        write_log_files(packed, f"{out}/logs/batch={batch_id}", by="file_no")
+        packed, newest = pack_log_files(lines.where(F.col("line").isNotNull()), sizes=sizes,
+                                        state=manifest_state(manifest))
+        kept = newest_files(packed, newest, sizes)
+        write_log_files(kept, f"{out}/logs/batch={batch_id}", by="file_no")
         quarantine = merge_sources(
             parsed.where(F.col(REASON).isNotNull()).select("host", "source", "arrival", REASON),
             lines.where(F.col("line").isNull()).select(
                 "host", "source", "arrival", F.lit(TIME_REASON).alias(REASON)))
         quarantine.write.mode("overwrite").parquet(f"{out}/quarantine/batch={batch_id}")
-        new_manifest = _merge_manifest(manifest, file_manifest(packed), bounded_broadcast(sizes))
+        new_manifest = merge_manifests(manifest, file_manifest(kept), sizes)
         new_manifest.write.mode("overwrite").parquet(f"{state}/manifest/batch={batch_id}")
         kernel_good = drop_malformed(parsed).where(F.col("source") == "kernel")
         advance_cursor(kernel_good, cursor).write.mode("overwrite").parquet(
@@ -157,19 +139,7 @@ def parse_metrics(query) -> dict[str, dict[str, int]]:
     return out
 
 
-def read_stream_archive(spark: SparkSession, out: str) -> DataFrame:
-    """The kept lines of a streaming archive: ``host, file_no, rotation,
-    line`` (files rotated out by the newest manifest are left out)."""
-    logs = (spark.read.schema("value string, batch bigint, host string, file_no bigint")
-            .option("lineSep", "\n").text(f"{out}/logs"))
-    snaps = spark.read.schema(f"{MANIFEST_DDL}, batch bigint").parquet(f"{out}/state/manifest")
-    newest_batch = snaps.agg(F.max("batch").alias("_b"))
-    manifest = snaps.join(F.broadcast(newest_batch), F.col("batch") == F.col("_b")).select("host", "file_no")
-    newest = manifest.groupBy("host").agg(F.max("file_no").alias("_newest"))
-    kept = logs.join(bounded_broadcast(manifest), ["host", "file_no"]).join(
-        bounded_broadcast(newest), "host")
-    return kept.select("host", "file_no", (F.col("_newest") - F.col("file_no")).alias("rotation"),
-                       F.concat(F.col("value"), F.lit("\n")).alias("line"))
+read_stream_archive = read_archive
 
 
 def stream_archive_once(spark: SparkSession, views: dict) -> DataFrame:

@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 
 from logweave.operators.files import effective_file_size
 from logweave.operators.order import with_source_rank
-from logweave.plans.archive import archive_lines, build_log_archive, parse_all, write_archive
+from logweave.plans.archive import archive_lines, build_log_archive, parse_all, read_archive, write_archive
 from logweave.session import scratch_path
 from logweave.sources import captures
-from logweave.sources.sink import read_log_files
 
 SF = "/root/testdata/sf0.001"
 
@@ -71,10 +70,10 @@ def test_cursor_advances(views, archive):
 def test_write_archive_round_trip(spark, archive):
     out = scratch_path(spark, "test-archive")
     write_archive(archive, out)
-    back = read_log_files(spark, f"{out}/logs", by="rotation")
+    back = read_archive(spark, out)
     want = sorted((r["host"], r["rotation"], r["line"]) for r in archive.lines.collect())
     assert sorted((r["host"], r["rotation"], r["line"]) for r in back.collect()) == want
-    q = spark.read.parquet(f"{out}/quarantine")
+    q = spark.read.parquet(f"{out}/quarantine/batch=0")
     assert set(q.columns) == {"host", "source", "arrival", "reason"}
     # within each written file the lines are in time order
     files = (spark.read.option("lineSep", "\n").text(f"{out}/logs")

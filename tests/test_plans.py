@@ -4,6 +4,8 @@ import re
 
 from pyspark.sql import functions as F
 
+from logweave.operators.parse import parse_kernel
+from logweave.session import scratch_path
 from logweave.operators.files import keep_rotations, take_by_bytes
 from logweave.operators.order import drop_duplicates
 from logweave.plans import queries as Q
@@ -20,10 +22,19 @@ def _spark_plan(df) -> str:
     return df._jdf.queryExecution().sparkPlan().toString()
 
 
-def test_take_by_bytes_limits_before_shuffle(spark):
+def test_take_by_bytes_never_gathers_a_host(spark):
     lines = Q._lines(spark, SF).where(F.col("line").isNotNull())
     plan = _spark_plan(take_by_bytes(lines, 4096, 48))
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+    windows = [l for l in plan.split("\n") if "Window [" in l]
+    assert windows and all("_chunk" in l for l in windows)
+
+
+def test_host_filter_reaches_the_scan_without_metrics(spark):
+    path = scratch_path(spark, "pushed")
+    captures.raw_kernel(spark, SF).write.parquet(path)
+    raw = spark.read.parquet(path)
+    plan = _spark_plan(parse_kernel(raw, metrics=False).where("host = 'a'"))
+    assert "EqualTo(host,a)" in plan
 
 
 def test_duplicate_drop_is_a_partial_hash_aggregate(spark):
