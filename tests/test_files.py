@@ -45,7 +45,7 @@ def test_manifest_and_state(spark):
 
 
 def test_take_by_bytes_above_group_limit(spark):
-    """Row limits above the window group limit threshold take the chunked path."""
+    """Large and small row limits, both over chunks."""
     rows = [("h", "kernel", i, i // 4, i % 4, 10) for i in range(3000)]
     rows += [("g", "queue", i, 0, i, 30) for i in range(50)]
     df = spark.createDataFrame(rows, "host string, source string, arrival bigint, tstamp_sec bigint, "
