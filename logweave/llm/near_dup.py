@@ -13,11 +13,10 @@ all emitted: every member is first paired with one pivot (the member whose
 buckets are the largest, likely the common origin of the copies). Members
 that stay outside the pivot's component are paired with a second pivot, and
 so on for ``rounds`` rounds. What is left are pairs of members that are still
-in different components (pairs inside one can't change it). For these, count
-the shingles of each document that any document of another component holds,
-among the members of such buckets: no link across components can rest on
-more, so documents with too few of them drop out, and of the others only
-pairs of fitting sizes are compared.
+in different components (pairs inside one can't change it). These are found
+from the members' shingles in one order, the rarest first: a
+pair above the threshold shares one near the start of both sets, so only
+members that do so, and that share a bucket, are compared.
 
 Null or empty texts have no shingles and are linked with nothing; a null id
 takes no part in links. Repeated rows have equal sets, so they are one class.
@@ -30,7 +29,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, stored
@@ -200,7 +199,7 @@ def near_duplicates(docs: DataFrame, miss: float = MISS, rounds: int = ROUNDS) -
                                                      F.greatest("id", "pivot").alias("b"))
         else:
             pairs = _remainder(members.join(comps, "id", "left").select(
-                "key", "id", F.coalesce("component", "id").alias("component")), texts)
+                "key", "id", F.coalesce("component", "id").alias("component")), texts, reps)
         pairs = pairs.distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti") if tested is not None else pairs, "pairs")
         found = stored(verified(promising(pairs, reps, miss), texts), "links")
@@ -231,41 +230,53 @@ def _shingle_rows(texts: DataFrame) -> DataFrame:
     def work(batches):
         for batch in batches:
             for i, s in enumerate(shingle_sets(batch.column(2))):
+                one = pa.array(np.full(len(s), i))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(np.full(len(s), i))),
-                     batch.column(1).take(pa.array(np.full(len(s), i))), pa.array(s.view(np.int64))],
-                    ["id", "component", "shingle"])
+                    [batch.column(0).take(one), batch.column(1).take(one),
+                     pa.array(np.full(len(s), len(s), np.int64)), pa.array(s.view(np.int64))],
+                    ["id", "component", "n", "shingle"])
 
-    return texts.select("id", "component", "text").mapInArrow(work, "id bigint, component bigint, shingle bigint")
+    return texts.select("id", "component", "text").mapInArrow(
+        work, "id bigint, component bigint, n bigint, shingle bigint")
 
 
-def _remainder(rows: DataFrame, texts: DataFrame) -> DataFrame:
+def _remainder(rows: DataFrame, texts: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs ``a, b`` of different components that share a bucket of
-    ``rows(key, id, component)`` and could still be links."""
+    ``rows(key, id, component)`` and could still be links.
+
+    Sets of ``n`` and ``m`` shingles need ``part * (n + m) / (part + whole)``
+    common ones. With every set in one order, the first common shingle of such
+    a pair has at least that many from it to the end of either set. Shingles
+    that only one component holds come first, then the rarest."""
     part, whole = THRESHOLD
-    able = rows = stored(_mixed(rows), "open")
-    sets = stored(_shingle_rows(texts.join(rows.select("id", "component").distinct(), "id")), "shingles")
-    for _ in range(2):  # what drops out may have been what others rested on
-        contested = sets.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")
-                                                ).where("lo <> hi").select("shingle", F.lit(1).alias("hit"))
-        most = stored(sets.join(contested, "shingle", "left").groupBy("id")
-                      .agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("most"))
-                      .where(F.col("most") * whole >= F.col("n") * part), "most")
-        able = _mixed(stored(rows.join(most, "id"), "able"))
-        # the bucket's smallest set decides what a member must share at least
-        able = (able.join(able.groupBy("key").agg(F.min("n").alias("low")), "key")
-                .where(part * (F.col("n") + F.col("low")) <= (part + whole) * F.col("most")))
-        able = stored(_mixed(able), "able")
-        rows = able.select("key", "id", "component")
-        sets = sets.join(rows.select("id").distinct(), "id", "left_semi")
-    lists = able.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    x, y = (able.join(lists, "id").select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("id", "component", "n", "most", "keys")])
-            for side in "ab")
-    fits = part * (F.col("n_a") + F.col("n_b")) <= (part + whole) * F.least("most_a", "most_b")
-    once = F.array_min(F.array_intersect("keys_a", "keys_b")) == F.col("key")
-    return (x.join(y, "key").where((F.col("id_a") < F.col("id_b")) & (F.col("component_a") != F.col("component_b"))
-                                   & fits & once)
-            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    rows = _mixed(rows).select("id", "component").distinct()
+    sets = stored(_shingle_rows(texts.join(rows, "id")), "shingles")
+    contested = (sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("held"), F.min("component").alias("lo"),
+                                             F.max("component").alias("hi"))
+                 .where("lo <> hi").select("shingle", "held"))
+    order = Window.partitionBy("id").orderBy(F.desc("held"), F.desc("shingle"))
+    # ``rest``: how many shingles of the set come from this one on
+    early = stored(sets.join(contested, "shingle").withColumn("rest", F.row_number().over(order))
+                   .where(F.col("rest") * whole >= F.col("n") * part)
+                   .select("shingle", "id", "component", "n", F.col("rest").cast("bigint")), "early")
+
+    def enough(x: str, y: str):
+        return part * (F.col(f"{x}.n") + F.col(f"{y}.n")) <= (part + whole) * F.least(f"{x}.rest", f"{y}.rest")
+
+    # one row for all sets of one size, so that a shingle's holders aren't paired to find those without partner
+    sizes = early.groupBy("shingle", "n").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
+                                              F.max("rest").alias("rest"))
+    other = (F.col("x.component") != F.col("y.lo")) | (F.col("x.component") != F.col("y.hi"))
+    early = stored(early.alias("x").join(sizes.alias("y"), (F.col("x.shingle") == F.col("y.shingle")) & other
+                                         & enough("x", "y"), "left_semi"), "partnered")
+    pairs = (early.alias("x").join(early.alias("y"), (F.col("x.shingle") == F.col("y.shingle"))
+                                   & (F.col("x.id") < F.col("y.id"))
+                                   & (F.col("x.component") != F.col("y.component")) & enough("x", "y"))
+             .select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    keys = reps.select("id", "keys")
+    return (pairs.join(keys.withColumnsRenamed({"id": "a", "keys": "keys_a"}), "a")
+            .join(keys.withColumnsRenamed({"id": "b", "keys": "keys_b"}), "b")
+            .where(F.arrays_overlap("keys_a", "keys_b")).select("a", "b"))
 
 
 def _outside(rows: DataFrame, comps: DataFrame) -> DataFrame:
