@@ -78,13 +78,14 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS)
     return weights(np.arange(size)).astype(np.float32)
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE) -> np.ndarray:
-    """Weights from ``labelled(doc_id, text, label)``, label 0 or 1."""
-    chosen = (labelled.select("doc_id", "label").where("label in (0, 1) and doc_id is not null").distinct()
-              .select("doc_id", "label", F.xxhash64("doc_id").alias("_h")).orderBy("_h", "doc_id", "label")
-              .limit(sample))
-    # at most ``sample`` rows of three numbers
-    rows = labelled.select("doc_id", F.col("text").cast("binary").alias("text")).join(
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """Weights from the texts of ``docs(doc_id, text)`` and their
+    ``labels(doc_id, label)``, label 0 or 1."""
+    chosen = (labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label")
+              .join(docs.select("doc_id"), "doc_id", "left_semi").distinct()
+              .withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", "label").limit(sample))
+    # at most ``sample`` rows of three numbers: only ids meet the labels, and texts aren't shuffled before they are chosen
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
         F.broadcast(chosen), "doc_id").select("_h", "doc_id", "label", "text")
 
     def featurise(batches):
@@ -127,6 +128,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """``doc_id, held_out, score, predicted`` for every document; labels are
     read only where they are not held out."""
     known = labels.select("doc_id", F.col("quality").alias("label")).where(~held_out())
-    weights = fit(docs.select("doc_id", "text").join(known, "doc_id"), sample)
+    weights = fit(docs, known, sample)
     return score(docs, weights).select("doc_id", held_out().alias("held_out"), "score",
                                        (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"))
