@@ -127,12 +127,14 @@ def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]
     return best, pick
 
 
-def solve(histogram: dict[int, int], capacity: int, rate: float, steep: float) -> list[tuple[Counter, float]]:
+def solve(histogram: dict[int, int], capacity: int, rate: float, steep: float,
+          room_left: bool = False) -> list[tuple[Counter, float]]:
     """Fractional configurations that cover the histogram without excess, by
     multiplicative weights: a length's price falls exponentially in its
     covered share. Each round prices once and takes, for each of the
     ``ORACLES`` least covered lengths, the best configuration that holds it,
-    if it is within ``NEAR`` of the best of all and leaves no room."""
+    if it is within ``NEAR`` of the best of all and, unless ``room_left``,
+    leaves no room."""
     lengths = np.array(sorted(histogram), np.int64)
     if not len(lengths):
         return []
@@ -156,7 +158,7 @@ def solve(histogram: dict[int, int], capacity: int, rate: float, steep: float) -
                 if pick[room]:
                     config[int(pick[room])] += 1
                 room -= int(pick[room]) or 1
-            if sum(k * m for k, m in config.items()) < capacity:
+            if not room_left and sum(k * m for k, m in config.items()) < capacity:
                 continue
             step = min((need[at[k]] - covered[at[k]]) / m for k, m in config.items()) * STEP
             for k, m in config.items():
@@ -168,15 +170,27 @@ def solve(histogram: dict[int, int], capacity: int, rate: float, steep: float) -
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
     """``(lengths in one sequence, how many such sequences)``, covering the
-    histogram exactly; the shortest of :data:`TRIALS`."""
+    histogram exactly; the shortest of :data:`TRIALS`, with and without
+    configurations that leave room. None has fewer than all tokens fill, so
+    the first that needs no more ends the search."""
     part = {x: n for x, n in histogram.items() if n and x < capacity}
-    return min((rounded(histogram, solve(part, capacity, *trial), capacity) for trial in TRIALS),
-               key=lambda p: sum(n for _, n in p))
+    least = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    best, fewest = [], None
+    for trial in [(*t, room_left) for room_left in (False, True) for t in TRIALS]:
+        found = rounded(histogram, solve(part, capacity, *trial), capacity)
+        n = sum(m for _, m in found)
+        if fewest is None or n < fewest:
+            best, fewest = found, n
+        if fewest <= least:
+            break
+    return best
 
 
 def rounded(histogram: dict[int, int], solved: list[tuple[Counter, float]], capacity: int) -> list[tuple[list[int], int]]:
     """The whole parts of the fractions, then everything left by best fit,
-    longest first: into the smallest gap that takes it, else a new sequence."""
+    longest first: into the smallest gap that takes it, else a new sequence.
+    What a piece leaves of the smallest gap is smaller still, so equal pieces
+    fill a gap, or a new sequence, as far as they go before the next one."""
     left = {x: n for x, n in histogram.items() if n}
     gaps: list[list[tuple[list[int], int]]] = [[] for _ in range(capacity + 1)]
     whole = left.pop(capacity, 0)
@@ -187,23 +201,25 @@ def rounded(histogram: dict[int, int], solved: list[tuple[Counter, float]], capa
         if n > 0:
             for k, m in config.items():
                 left[k] -= n * m
-            gaps[0].append((sorted(config.elements(), reverse=True), n))
+            own = sorted(config.elements(), reverse=True)
+            gaps[capacity - sum(own)].append((own, n))
     for x in sorted(left, reverse=True):
-        n = left[x]
-        gap = x
-        while n and gap <= capacity:
-            if gap == capacity and not gaps[gap]:
-                gaps[gap].append(([], n))
-            if not gaps[gap]:
+        n, gap = left[x], x
+        while n:
+            if gap < capacity and not gaps[gap]:
                 gap += 1
                 continue
-            own, m = gaps[gap].pop()
-            use = min(n, m)
-            if m > use:
-                gaps[gap].append((own, m - use))
-            gaps[gap - x].append(([*own, x], use))
-            n -= use
-            gap = x if gap - x >= x else gap
+            fit = gap // x
+            own, m = gaps[gap].pop() if gap < capacity else ([], -(-n // fit))
+            full = min(n // fit, m)
+            if full:
+                gaps[gap - fit * x].append((own + [x] * fit, full))
+                n, m = n - full * fit, m - full
+            if n and m:
+                gaps[gap - n * x].append((own + [x] * n, 1))
+                n, m = 0, m - 1
+            if m:
+                gaps[gap].append((own, m))
     return [(own, n) for level in gaps for own, n in level if own]
 
 
