@@ -3,8 +3,11 @@
 The words of a source, document after document, are cut into blocks of
 ``block`` words (the last may be shorter). The mix is a row of slots, each of
 which takes one block; slots are dealt to output shards of ``shard`` slots.
-A shard draws its source counts: the whole part of each expected count, and
-the rest as a multinomial draw over the fractional parts. The slots of a
+A shard gets the whole part of each expected count, and draws the rest by the
+fractional parts. The draws of all shards come from one urn without
+replacement: it holds each source's fractions summed over the shards, so a
+source with far less than one block a shard still gets its target, within one
+block. The slots of a
 source, numbered over all shards, walk through its blocks by a pseudorandom
 permutation of the block indices (swap-or-not rounds, a fresh one for each
 pass), and the slots join the blocks by (source, index).
@@ -62,11 +65,6 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return rows.select("source", "source_size", share.alias("target"))
 
 
-def _uniform(*cols) -> Column:
-    """A number in [0, 1) from a hash of the columns."""
-    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / F.lit(float(1 << 53))
-
-
 def permuted(index: Column, n: Column, *key: Column) -> Column:
     """A pseudorandom permutation of 0 .. n-1 at ``index``, by swap-or-not
     rounds: each pairs the place with its mirror and swaps by a coin."""
@@ -85,27 +83,35 @@ def slots(shares: DataFrame, block: int = BLOCK, shard: int = SHARD, most: int =
             .withColumn("_want", F.col("target") * F.col("blocks") / F.col("source_size"))
             .withColumn("_all", F.sum("_want").over(Window.partitionBy()))
             .withColumn("_shards", F.ceil(F.col("_all") / shard).cast("bigint")))
+    mean = F.col("_want") / F.col("_shards")
+    upto = Window.orderBy("_name").rowsBetween(Window.unboundedPreceding, 0)
+    # each source owns the places _urn .. _urn_end - 1 of the urn
+    rows = stored(rows.withColumn("_whole", F.floor(mean)).withColumn("_rest", mean - F.col("_whole"))
+                  .withColumn("_urn_end", F.round(F.sum("_rest").over(upto) * F.col("_shards")).cast("bigint"))
+                  .withColumn("_urn", F.lag("_urn_end", 1, 0).over(Window.orderBy("_name")))
+                  .withColumn("_draws", F.max("_urn_end").over(Window.partitionBy())), "wants")
     # a task expands a bounded number of shards, however many there are
-    rows = stored(rows, "wants")
     tasks = (rows.agg(F.max("_shards")).first()[0] or 0) // SHARDS_PER_TASK + 1
     apart = (rows.withColumn("_from", F.explode(F.sequence(
                 F.lit(0).cast("bigint"), F.col("_shards") - 1, F.lit(SHARDS_PER_ROW).cast("bigint"))))
              .repartition(tasks, "_name", "_from")
-             .withColumn("shard", F.explode(F.sequence(
+             .withColumn("_at", F.explode(F.sequence(
                  F.col("_from"), F.least("_shards", F.col("_from") + SHARDS_PER_ROW) - 1))))
-    expected = apart.withColumn("_mean", F.col("_want") / F.col("_shards")) \
-        .withColumn("_whole", F.floor("_mean")).withColumn("_rest", F.col("_mean") - F.col("_whole"))
-    in_shard = Window.partitionBy("shard").orderBy("_name").rowsBetween(Window.unboundedPreceding, 0)
-    drawn = (expected.withColumn("_upto", F.sum("_rest").over(in_shard))
-             .withColumn("_rests", F.sum("_rest").over(Window.partitionBy("shard")))
-             .withColumn("_draws", F.sequence(F.lit(1), F.greatest(F.lit(1), F.round("_rests").cast("int"))))
-             .withColumn("_hits", F.size(F.filter("_draws", lambda i: (
-                 (F.round("_rests") >= 1)
-                 & (_uniform(F.lit("draw"), "shard", i) * F.col("_rests") < F.col("_upto"))
-                 & (_uniform(F.lit("draw"), "shard", i) * F.col("_rests") >= F.col("_upto") - F.col("_rest"))))))
-             .withColumn("_count", F.col("_whole") + F.col("_hits")))
+    # a source has at most one draw a shard on average, so the row of its
+    # n-th shard also deals its n-th draw; shard j takes the draws from
+    # j * draws // shards on
+    turn = permuted(F.col("_urn") + F.col("_at"), F.col("_draws"), F.lit("draw"))
+    dealt = F.when(F.col("_at") < F.col("_urn_end") - F.col("_urn"),
+                   F.expr("((_turn + 1) * _shards - 1) div _draws"))
+    drawn = (apart.withColumn("_turn", F.when(F.col("_draws") > 0, turn))
+             .select("_name", "source", "blocks", F.explode(F.array(
+                 F.struct(F.col("_at").alias("shard"), F.col("_whole").alias("n")),
+                 F.struct(dealt.alias("shard"), F.lit(1).cast("bigint").alias("n")))).alias("_part"))
+             .where("_part.shard is not null and _part.n > 0")
+             .groupBy("_name", "source", "blocks", F.col("_part.shard").alias("shard"))
+             .agg(F.sum("_part.n").alias("_count")))
     # a source's shards are numbered in any fixed order, so by chunks
-    placed = before(stored(drawn.drop("_draws"), "drawn"), "_name", ["shard"], F.col("_count"), "_first")
+    placed = before(stored(drawn, "drawn"), "_name", ["shard"], F.col("_count"), "_first")
     last = F.least(F.col("_first") + F.col("_count"), F.col("blocks") * most)
     each = (placed.withColumn("_last", last).where("_last > _first").repartition(tasks, "shard")
             .withColumn("_slot", F.explode(F.sequence(F.col("_first"), F.col("_last") - 1)))

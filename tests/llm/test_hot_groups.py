@@ -4,7 +4,7 @@ common, or very rare beside a common one."""
 import numpy as np
 import pytest
 
-from logweave.llm import packing
+from logweave.llm import mixing, packing
 
 
 def sequences(histogram):
@@ -30,3 +30,21 @@ def test_a_hot_length_fills_sequences(hot):
     histogram = dict(zip(lengths.tolist(), counts.tolist()))
     histogram[hot] = histogram.get(hot, 0) + 10_000
     assert sequences(histogram) <= 1.002 * -(-sum(x * n for x, n in histogram.items()) // 2048)
+
+
+@pytest.mark.parametrize("want", [
+    {"hot": 94_889_692, "tiny": 22_482},  # 0.24 blocks a shard
+    {"a": 40_000_000, "b": 30_000_000, "c": 20_000},
+    {"hot": 60_000_000, **{f"tiny{i}": 64 * i for i in range(1, 40)}},
+    {"whole": 64 * 1024 * 3},
+])
+def test_slots_add_up_to_the_targets(spark, want):
+    shares = spark.createDataFrame([(s, n, float(n)) for s, n in want.items()],
+                                   "source string, source_size bigint, target double")
+    rows = mixing.slots(shares).groupBy("source", "shard").count().collect()
+    got, of_shard = dict.fromkeys(want, 0), {}
+    for r in rows:
+        got[r["source"]] += r["count"]
+        of_shard[r["shard"]] = of_shard.get(r["shard"], 0) + r["count"]
+    assert {s for s in want if abs(got[s] - want[s] / 64) > 1.01} == set()
+    assert max(of_shard.values()) <= 1024 and max(of_shard.values()) - min(of_shard.values()) <= 1
