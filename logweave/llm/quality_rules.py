@@ -44,23 +44,21 @@ ROUNDS = 50
 def statistics(docs: DataFrame, *carry: str) -> DataFrame:
     """``docs(text)`` with the counts that the rules read, and ``carry``.
 
-    Repeated 3-word windows: each window's key is its hash with its place in
-    the low bits; sorted, equal windows are neighbours."""
+    Repeated 3-word windows: each window is a pair of its whole 64-bit hash
+    and its place; sorted, equal windows are neighbours."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    shift = lambda key: F.call_function("shiftrightunsigned", key, F.col("_bits"))
 
     def window(i):
         at = [F.get("_words", i + d) for d in range(3)]
-        return F.call_function("shiftleft", F.xxhash64(*at), F.col("_bits")).bitwiseOR(i.cast("bigint"))
+        return F.struct(F.xxhash64(*at).alias("hash"), i.alias("place"))
 
     def repeated(key, i):
-        own = shift(key)
-        return (F.coalesce(shift(F.get("_keys", i - 1)) == own, F.lit(False))
-                | F.coalesce(shift(F.get("_keys", i + 1)) == own, F.lit(False)))
+        own = key["hash"]
+        return (F.coalesce(F.get("_keys", i - 1)["hash"] == own, F.lit(False))
+                | F.coalesce(F.get("_keys", i + 1)["hash"] == own, F.lit(False)))
 
-    place = lambda key: key.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_bits")) - 1)
     windows = F.when(F.size("_words") >= 3, F.transform(
-        F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(F.array().cast("array<bigint>"))
+        F.sequence(F.lit(0), F.size("_words") - 3), window)).otherwise(F.array().cast("array<struct<hash:bigint,place:int>>"))
     return (docs.select(*carry, text.alias("_text"))
             .select(*carry, F.length("_text").alias("_length"),
                     F.regexp_count("_text", F.lit(r"[\x20\x09-\x0D]")).alias("_blanks"),
@@ -69,11 +67,10 @@ def statistics(docs: DataFrame, *carry: str) -> DataFrame:
                     F.regexp_count("_text", F.lit(r"\p{Lu}")).cast("bigint").alias("n_capitals"),
                     F.filter(F.split("_text", "\n"), lambda line: line.rlike(WORD)).alias("_lines"),
                     F.filter(F.split("_text", r"[\x20\x09-\x0D]+"), lambda w: w != "").alias("_words"))
-            .withColumn("_bits", F.ceil(F.log2(F.size("_words") + 1.0)).cast("int"))
             .withColumn("_keys", F.sort_array(windows))
             .withColumn("_hits", F.filter("_keys", repeated))
             .withColumn("_covered", F.array_distinct(F.flatten(F.transform(
-                "_hits", lambda k: F.array(place(k), place(k) + 1, place(k) + 2)))))
+                "_hits", lambda k: F.array(k["place"], k["place"] + 1, k["place"] + 2)))))
             .select(*carry, F.size("_words").cast("bigint").alias("n_words"),
                     (F.col("_length") - F.col("_blanks")).cast("bigint").alias("word_chars"),
                     "n_symbols", "n_marks", "n_capitals", F.size("_lines").cast("bigint").alias("n_lines"),

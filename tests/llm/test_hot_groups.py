@@ -4,7 +4,7 @@ common, or very rare beside a common one."""
 import numpy as np
 import pytest
 
-from logweave.llm import mixing, packing
+from logweave.llm import mixing, packing, quality_rules
 
 
 def sequences(histogram):
@@ -48,3 +48,10 @@ def test_slots_add_up_to_the_targets(spark, want):
         of_shard[r["shard"]] = of_shard.get(r["shard"], 0) + r["count"]
     assert {s for s in want if abs(got[s] - want[s] / 64) > 1.01} == set()
     assert max(of_shard.values()) <= 1024 and max(of_shard.values()) - min(of_shard.values()) <= 1
+
+
+def test_windows_of_a_long_text_keep_their_whole_hash(spark):
+    # the hashes of "a1665272 b c" and "a2057064 b c" agree in their low 43 bits only
+    words = ["a1665272", "b", "c", *(f"w{i}" for i in range(1 << 20)), "a2057064", "b", "c"]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
+    assert quality_rules.statistics(docs, "doc_id").first()["n_repeat_words"] == 0
