@@ -24,14 +24,15 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str, *partition_by: str, schema: str | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read
-    again: lineage is cut, and a lost executor loses nothing."""
+    again (as ``schema``, if one is given): lineage is cut, and a lost executor
+    loses nothing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(schema or df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest
 from .common import table
+from .divergence import SQL as DIVERGENCE_SQL, divergence
 from .line_dedup import line_report
 from .mixing import mix_report
 from .near_dup import near_duplicates
@@ -15,6 +16,8 @@ from .pii import private_report
 from .quality_model import quality_scores
 from .quality_rules import quality_report
 from .secrets import secret_report
+from .simhash import simhash_groups
+from .spelling import spelling_groups
 from .suffix_dedup import repeat_report
 
 
@@ -58,9 +61,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_remove_repeats, op2_near_duplicates, op3_quality_model, op4_nearest_neighbours, op5_mix_sources, op6_secrets,
-    op7_quality_rules, op8_packing, op9_private_data, op10_line_dedup)}
+    op7_quality_rules, op8_packing, op9_private_data, op10_line_dedup, op11_spelling_variants,
+    op12_simhash, op13_source_divergence)}
 
 #: Hash-based and iterative operators have no SQL; see the brute-force tests.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
