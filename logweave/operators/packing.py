@@ -20,11 +20,21 @@ steps over ordered chunks (see :mod:`.ordered`):
    first rotation (one per line of the chunk's first file), the bytes used
    at exit and the number of files opened. All candidate chains are
    advanced together, so the work is about the chunk's line count.
-2. Per host (one row per chunk, not per line), the chunk summaries are
-   chained from the host's start state, giving each chunk its entry file
-   number and used bytes.
+   Chains of neighbouring candidates soon meet, so only the distinct steps
+   ``(from, bytes used at exit, files opened)`` are kept.
+2. Chunk functions are composed, at most ``FAN`` neighbours of a host to
+   one, in rounds until a host has one left (more than one round only where
+   chunks outnumber ``FAN``); then the states are handed down the same tree:
+   a group of at most ``FAN`` functions is evaluated from the state at its
+   first. No task gathers the chunks of a host.
 3. Per chunk (in parallel), the lines are numbered from the entry state in
-   a streaming scan over Arrow batches.
+   a streaming scan over Arrow batches, which returns a row for each stretch
+   of one file. Lines find their stretch by a join on (host, block of rows).
+
+The scans read lengths and row numbers only; the text stays in the JVM.
+
+With files larger than a chunk, chains meet late, and a function keeps up to
+a step for each line of the chunk's first file.
 """
 
 from __future__ import annotations
@@ -40,9 +50,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import FILE_SIZE_DEFAULT, ROTATE_FREE_MIN, ROTATIONS_DEFAULT, TIME_ORDER
-from ..session import bounded_broadcast, same_size, small_side
+from ..session import bounded_broadcast, cut_lineage, same_size, small_side
 from .order import with_source_rank
-from .ordered import (CHUNK, binary_schema, bytes_as_strings, ordered_chunks,
+from .ordered import (CHUNK, ROW_ID, binary_schema, bytes_as_strings, ordered_chunks,
                       strings_as_bytes)
 
 # The Arrow-batch functions below run in Python workers, which need not be
@@ -53,6 +63,8 @@ SIZE = "_file_size"
 UNLIMITED = "_unlimited"
 ENTRY_FILE = "_entry_file"
 ENTRY_USED = "_entry_used"
+FAN = 32
+BLOCK = 4096
 
 
 # --- the fold on one run of lines, vectorised -------------------------------
@@ -125,6 +137,44 @@ def _number_run(lengths: np.ndarray, size: int, unlimited: bool,
     return numbers.astype(np.int64), file_no + len(starts), int(q[n] - q[starts[-1]])
 
 
+def _distinct_steps(t: np.ndarray, exit_used: np.ndarray, files: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of neighbouring steps with one value the last, which begins lowest;
+    and nothing below a step that every entry reaches."""
+    if len(t):
+        differs = np.append((exit_used[1:] != exit_used[:-1]) | (files[1:] != files[:-1]), True)
+        t, exit_used, files = t[differs], exit_used[differs], files[differs]
+        reached = int(_first_rotation(t, 0)) + 1
+        t, exit_used, files = t[:reached], exit_used[:reached], files[:reached]
+    return t, exit_used, files
+
+
+def _compose(a: dict, b: dict) -> dict:
+    """The fold over a run and the run after it, as one function."""
+    ta, ea, fa = (np.asarray(a[k], np.int64) for k in ("t", "exit_used", "files"))
+    tb, eb, fb = (np.asarray(b[k], np.int64) for k in ("t", "exit_used", "files"))
+    if len(tb):
+        k = _first_rotation(tb, ea)
+        at = np.minimum(k, len(tb) - 1)
+        exit_used = np.where(k < len(tb), eb[at], ea + b["total"])
+        files = fa + np.where(k < len(tb), fb[at], 0)
+    else:
+        exit_used, files = ea + b["total"], fa
+    # entries below the first run's steps reach the second with its total
+    low = tb - a["total"]
+    later = low < ta[-1] if len(ta) else np.ones(len(low), bool)
+    steps = _distinct_steps(np.append(ta, low[later]), np.append(exit_used, eb[later]), np.append(files, fb[later]))
+    return {"total": a["total"] + b["total"], **dict(zip(("t", "exit_used", "files"), (x.tolist() for x in steps)))}
+
+
+def _apply(f: dict, file_no: int, used: int) -> tuple[int, int]:
+    """The state after a run, from the state before it."""
+    t = np.asarray(f["t"], np.int64)
+    k = int(_first_rotation(t, used)) if len(t) else 0
+    if k < len(t):
+        return file_no + int(f["files"][k]), int(f["exit_used"][k])
+    return file_no, used + int(f["total"])
+
+
 def _summarise_run(lengths: np.ndarray, size: int, unlimited: bool) -> dict:
     """The fold over a run as a function of the entry used bytes ``u``:
     for ``u >= t[k]`` (first such k) the run ends with ``exit_used[k]``
@@ -139,8 +189,8 @@ def _summarise_run(lengths: np.ndarray, size: int, unlimited: bool) -> dict:
     m = int(_first_rotation(t, 0))  # u = 0 rotates first at line m
     first = np.arange(min(m + 1, n), dtype=np.int64)
     last, count = _chains(q, first, size)
-    return {"total": total, "t": t[: len(first)].tolist(),
-            "exit_used": (q[n] - q[last]).tolist(), "files": count.tolist()}
+    steps = _distinct_steps(t[: len(first)], q[n] - q[last], count)
+    return {"total": total, **dict(zip(("t", "exit_used", "files"), (x.tolist() for x in steps)))}
 
 
 # --- Spark steps ------------------------------------------------------------
@@ -162,6 +212,13 @@ _ENTRY_SCHEMA = T.StructType([
     T.StructField("_exit_file", T.LongType()),
 ])
 
+_STRETCH_SCHEMA = T.StructType([
+    T.StructField("host", T.StringType()),
+    T.StructField("file_no", T.LongType()),
+    T.StructField("_first_row", T.LongType()),
+    T.StructField("_last_row", T.LongType()),
+])
+
 
 def _runs(pdf: pd.DataFrame) -> list[tuple[int, int]]:
     """Row ranges of equal (host, chunk) in a sorted batch."""
@@ -204,46 +261,96 @@ def _summaries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=_SUMMARY_SCHEMA.names)
 
 
-def _chain_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 2: per host, chunk summaries in chunk order, from the start
-    state; one summary row in memory at a time."""
-    host, file_no, used = None, 0, 0
+def _functions(pdf: pd.DataFrame) -> Iterator[tuple[tuple, int, dict]]:
+    """``(host, group), node, function`` of the rows of a batch."""
+    for host, group, node, total, t, exit_used, files in zip(*(pdf[c].tolist() for c in (
+            "host", "_group", CHUNK, "total", "t", "exit_used", "files"))):
+        none = np.zeros(0, np.int64)
+        yield (host, group), int(node), {"total": int(total), "t": none if t is None else t, "files": none if files is None else files,
+                                         "exit_used": none if exit_used is None else exit_used}
+
+
+def _compose_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 2, up: one function for each group, from its rows in order."""
+    key, whole = None, None
     for pdf in batches:
-        rows = []
-        cols = [pdf[c].tolist() for c in ("host", CHUNK, "total", "t", "exit_used", "files",
-                                          "start_file", "start_used")]
-        for h, chunk, total, t, exit_used, files, start_file, start_used in zip(*cols):
-            if h != host:
-                host, file_no, used = h, int(start_file), int(start_used)
-            entry_file, entry_used = file_no, used
-            t = np.asarray(t if t is not None else [], dtype=np.int64)
-            k = int(_first_rotation(t, used)) if len(t) else 0
-            if len(t) and k < len(t):
-                file_no += int(files[k])
-                used = int(exit_used[k])
+        out = []
+        for own, _, f in _functions(pdf):
+            if own != key:
+                if key is not None:
+                    out.append((key[0], key[1], *whole.values()))
+                key, whole = own, f
             else:
-                used += int(total)
-            rows.append((host, int(chunk), entry_file, entry_used, file_no))
-        if rows:
-            yield pd.DataFrame(rows, columns=_ENTRY_SCHEMA.names)
+                whole = _compose(whole, f)
+        yield pd.DataFrame(out, columns=_SUMMARY_SCHEMA.names)
+    if key is not None:
+        yield pd.DataFrame([(key[0], key[1], *whole.values())], columns=_SUMMARY_SCHEMA.names)
+
+
+def _enter_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Step 2, down: the state at each row of a group, from that at its first."""
+    key, file_no, used = None, 0, 0
+    for pdf in batches:
+        rows = []
+        for (own, node, f), start_file, start_used in zip(_functions(pdf), pdf["start_file"], pdf["start_used"]):
+            if own != key:
+                key, file_no, used = own, int(start_file), int(start_used)
+            entry = file_no, used
+            file_no, used = _apply(f, file_no, used)
+            rows.append((own[0], node, *entry, file_no))
+        yield pd.DataFrame(rows, columns=_ENTRY_SCHEMA.names)
 
 
 def _number_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Step 3: file numbers, streaming; state carried across batches."""
+    """Step 3: stretches of rows in one file, streaming; state carried across
+    batches."""
     key, file_no, used = None, 0, 0
     for pdf in batches:
         if pdf.empty:
             continue
-        numbers = np.empty(len(pdf), dtype=np.int64)
-        lengths = pdf["line_bytes"].to_numpy(np.int64)
+        out = []
+        lengths, ids = (pdf[c].to_numpy(np.int64) for c in ("line_bytes", ROW_ID))
         for lo, hi in _runs(pdf):
             row = pdf.iloc[lo]
             k = (row["host"], int(row[CHUNK]))
             if k != key:
                 key, file_no, used = k, int(row[ENTRY_FILE]), int(row[ENTRY_USED])
-            numbers[lo:hi], file_no, used = _number_run(
+            numbers, file_no, used = _number_run(
                 lengths[lo:hi], int(row[SIZE]), bool(row[UNLIMITED]), file_no, used)
-        yield pdf.drop(columns=[ENTRY_FILE, ENTRY_USED, "_exit_file"]).assign(file_no=numbers)
+            first = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1]))
+            last = np.append(first[1:], hi - lo) - 1
+            out += [(k[0], int(numbers[i]), int(ids[lo + i]), int(ids[lo + j])) for i, j in zip(first, last)]
+        yield pd.DataFrame(out, columns=_STRETCH_SCHEMA.names)
+
+
+def _entries(summaries: DataFrame, start: DataFrame | None, chunks: int) -> DataFrame:
+    """The state at each chunk (``host, _chunk, _entry_file, _entry_used,
+    _exit_file``), from the functions of ``chunks`` chunks and the hosts'
+    start states."""
+    def grouped(nodes: DataFrame) -> DataFrame:
+        out = nodes.withColumn("_group", F.expr(f"{CHUNK} div {FAN}").cast("int"))
+        return out.repartition("host", "_group").sortWithinPartitions("host", "_group", CHUNK)
+
+    def scan(nodes: DataFrame, work, schema: T.StructType) -> DataFrame:
+        return bytes_as_strings(strings_as_bytes(nodes)[0].mapInPandas(work, binary_schema(schema)), ["host"])
+
+    levels = [summaries]
+    while chunks > FAN:
+        levels.append(cut_lineage(scan(grouped(levels[-1]), _compose_groups, _SUMMARY_SCHEMA)))
+        chunks = -(-chunks // FAN)
+    entries = None
+    for nodes in reversed(levels):
+        if entries is not None:
+            above = entries.select("host", F.col(CHUNK).alias("_group"), F.col(ENTRY_FILE).alias("start_file"),
+                                   F.col(ENTRY_USED).alias("start_used"))
+            started = nodes.withColumn("_group", F.expr(f"{CHUNK} div {FAN}").cast("int")).join(
+                above, ["host", "_group"])
+        elif start is not None:
+            started = nodes.join(bounded_broadcast(start), "host", "left").fillna(0, ["start_file", "start_used"])
+        else:
+            started = nodes.withColumns({c: F.lit(0).cast("bigint") for c in ("start_file", "start_used")})
+        entries = scan(grouped(started), _enter_groups, _ENTRY_SCHEMA)
+    return small_side(entries)
 
 
 def _with_sizes(lines: DataFrame, sizes: DataFrame | None, max_size: int,
@@ -269,31 +376,25 @@ def pack_log_files(lines: DataFrame, sizes: DataFrame | None = None,
     the lines."""
     cols = list(dict.fromkeys([*lines.columns, "source_rank"]))
     prepared = _with_sizes(with_source_rank(lines), sizes, max_size, max_rot)
-    chunks = ordered_chunks(prepared, ["host"], TIME_ORDER, num_chunks)
+    chunks = ordered_chunks(prepared, ["host"], TIME_ORDER, num_chunks, row_ids=True)
 
     # Python scans see strings as bytes (see strings_as_bytes).
-    narrow, _ = strings_as_bytes(chunks.select("host", CHUNK, "line_bytes", SIZE, UNLIMITED))
-    summaries = bytes_as_strings(
-        narrow.mapInPandas(_summaries, binary_schema(_SUMMARY_SCHEMA)), ["host"])
-    if state is None:
-        summaries = summaries.withColumns({"start_file": F.lit(0).cast("bigint"),
-                                           "start_used": F.lit(0).cast("bigint")})
-    else:
-        st = state.select("host", F.col("file_no").cast("bigint").alias("start_file"),
-                          F.col("bytes").cast("bigint").alias("start_used"))
-        summaries = summaries.join(bounded_broadcast(st), "host", "left").fillna(
-            0, ["start_file", "start_used"])
-    ordered, _ = strings_as_bytes(summaries.repartition("host").sortWithinPartitions("host", CHUNK))
-    entries = small_side(bytes_as_strings(
-        ordered.mapInPandas(_chain_chunks, binary_schema(_ENTRY_SCHEMA)), ["host"]))
+    narrow = chunks.select("host", CHUNK, ROW_ID, "line_bytes", SIZE, UNLIMITED)
+    summaries = cut_lineage(bytes_as_strings(
+        strings_as_bytes(narrow.drop(ROW_ID))[0].mapInPandas(_summaries, binary_schema(_SUMMARY_SCHEMA)), ["host"]))
+    start = None if state is None else state.select(
+        "host", F.col("file_no").cast("bigint").alias("start_file"), F.col("bytes").cast("bigint").alias("start_used"))
+    entries = _entries(summaries, start, chunks.rdd.getNumPartitions())
     newest = entries.groupBy("host").agg(F.max("_exit_file").alias("newest"))
 
-    located, text_cols = strings_as_bytes(chunks.join(entries, ["host", CHUNK])
-                                          .sortWithinPartitions("host", *TIME_ORDER))
-    out_schema = T.StructType([f for f in located.schema.fields
-                               if f.name not in (ENTRY_FILE, ENTRY_USED, "_exit_file")]
-                              + [T.StructField("file_no", T.LongType())])
-    numbered = bytes_as_strings(located.mapInPandas(_number_chunks, out_schema), text_cols)
+    located = narrow.join(entries, ["host", CHUNK]).sortWithinPartitions("host", ROW_ID)
+    stretches = bytes_as_strings(strings_as_bytes(located)[0].mapInPandas(
+        _number_chunks, binary_schema(_STRETCH_SCHEMA)), ["host"])
+    block = F.expr(f"{ROW_ID} div {BLOCK}")
+    stretches = small_side(stretches.withColumn("_block", F.explode(F.expr(
+        f"sequence(_first_row div {BLOCK}, _last_row div {BLOCK})"))))
+    numbered = (chunks.withColumn("_block", block).join(stretches, ["host", "_block"])
+                .where(F.col(ROW_ID).between(F.col("_first_row"), F.col("_last_row"))))
     return numbered.select(*cols, "file_no"), newest
 
 
