@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import bounded_broadcast, same_size
-from .ordered import CHUNK, binary_schema, bytes_as_strings, ordered_chunks, strings_as_bytes
+from ..session import bounded_broadcast, same_size, small_side
+from .asof import as_of
+from .ordered import (CHUNK, binary_schema, bytes_as_strings, number_within, ordered_chunks,
+                      strings_as_bytes)
 
 # The Arrow-batch functions below run in Python workers, which need not be
 # able to import this package: send their code with the task.
@@ -42,6 +44,57 @@ def advance_cursor(df: DataFrame, cursor: DataFrame) -> DataFrame:
             .groupBy("host").agg(F.max("seqno").alias("seqno")))
 
 
+def reboots(df: DataFrame, num_chunks: int | None = None) -> DataFrame:
+    """Where a host's kernel sequence number falls, a new boot begins:
+    ``host, arrival, boot_no`` of the first record of each boot but the first
+    of the capture (which is boot 0).
+
+    Only ``host, arrival, seqno`` are cut into ordered chunks; falls inside a
+    chunk come from a window over the chunk, falls between chunks from the
+    table of their first and last numbers. Equal numbers are no fall."""
+    seq = df.where(F.col("seqno").isNotNull() & F.col("arrival").isNotNull()).select("host", "arrival", "seqno")
+    chunks = ordered_chunks(seq, ["host"], ["arrival", "seqno"], num_chunks)
+    place = F.struct("arrival", "seqno")
+    inner = (chunks.withColumn("_prev", F.lag("seqno").over(
+                 Window.partitionBy("host", CHUNK).orderBy("arrival", "seqno")))
+             .where("seqno < _prev").select("host", "arrival"))
+    bounds = chunks.groupBy("host", CHUNK).agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
+    border = (bounds.withColumn("_prev", F.lag("_last.seqno").over(Window.partitionBy("host").orderBy(CHUNK)))
+              .where("_first.seqno < _prev").select("host", F.col("_first.arrival").alias("arrival")))
+    falls = inner.unionByName(border).distinct()
+    return number_within(falls, ["host"], ["arrival"], "boot_no").select(
+        "host", "arrival", F.col("boot_no").cast("int").alias("boot_no"))
+
+
+def number_boots(df: DataFrame, num_chunks: int | None = None) -> DataFrame:
+    """``df`` with ``boot_no``, the boot of the host that a kernel record
+    belongs to, counted from 0 in the capture."""
+    found = as_of(df, reboots(df, num_chunks), ["host"], "arrival", ["boot_no"], num_chunks)
+    return found.withColumn("boot_no", F.coalesce("boot_no", F.lit(0)))
+
+
+def after_cursor_boots(df: DataFrame, cursor: DataFrame, num_chunks: int | None = None) -> DataFrame:
+    """:func:`after_cursor` where hosts may reboot: the cursor is of the boot
+    that the capture begins in, so it holds until the host's number first
+    falls; all later records are kept."""
+    c = same_size(cursor, bounded_broadcast(cursor).select("host", F.col("seqno").alias("_cursor")))
+    first = small_side(reboots(df, num_chunks).groupBy("host").agg(F.min("arrival").alias("_reboot")))
+    keep = (F.col("seqno").isNull() | F.col("_cursor").isNull() | (F.col("_cursor") == 0)
+            | (F.col("seqno") > F.col("_cursor")) | (F.col("arrival") >= F.col("_reboot")))
+    return df.join(c, "host", "left").join(first, "host", "left").where(keep).drop("_cursor", "_reboot")
+
+
+def advance_cursor_boots(df: DataFrame, cursor: DataFrame, num_chunks: int | None = None) -> DataFrame:
+    """:func:`advance_cursor` where hosts may reboot: the highest number of
+    the host's last boot in ``df`` (all kernel records of the capture); the
+    stored cursor counts only for a host that did not reboot."""
+    last = small_side(reboots(df, num_chunks).groupBy("host").agg(F.max("arrival").alias("_reboot")))
+    seen = (df.where(F.col("seqno").isNotNull()).select("host", "arrival", "seqno").join(last, "host", "left")
+            .where(F.col("_reboot").isNull() | (F.col("arrival") >= F.col("_reboot"))).select("host", "seqno"))
+    stored = cursor.select("host", F.col("seqno").cast("decimal(20,0)")).join(last, "host", "left_anti")
+    return seen.unionByName(stored).groupBy("host").agg(F.max("seqno").alias("seqno"))
+
+
 def _hi(col: Column) -> Column:
     return F.floor(col / F.lit(_TWO_32)).cast("bigint")
 

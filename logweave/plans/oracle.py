@@ -59,6 +59,11 @@ SELECT concat('h', CAST(n_nationkey AS VARCHAR)) AS host,
   CAST(1704067200000000 + 1296000000000 AS BIGINT) AS real_now_us,
   CAST(1296000000000 + CAST(n_nationkey AS BIGINT) * 1000000 AS BIGINT) AS boot_now_us
 FROM nation""",
+    "clock_samples": """
+SELECT concat('h', CAST(user_id % 25 AS VARCHAR)) AS host, event_id AS arrival,
+  epoch_us(ts) - (event_id % 7) * 1000000 + (event_id % 1000) * 1000 AS real_now_us,
+  epoch_us(ts) - 1704067200000000 - (event_id % 7) * 1000000 AS boot_now_us
+FROM events WHERE event_id % 50 = 0""",
     "cursor_t": """
 SELECT concat('h', CAST(n_nationkey AS VARCHAR)) AS host,
   CAST(CASE WHEN n_nationkey = 7 THEN 0 ELSE 100 * (n_nationkey + 1) END AS DECIMAL(20,0)) AS seqno
@@ -155,6 +160,21 @@ SELECT host, boot_now_us // 1000000 AS now_sec, CAST((boot_now_us % 1000000) * 1
   (real_now_us - boot_now_us) // 1000000 AS off_sec,
   CAST(((real_now_us - boot_now_us) % 1000000) * 1000 AS INTEGER) AS off_nsec
 FROM boot_clock""",
+    "kboots": """
+SELECT * REPLACE (CAST(seqno % 4000 AS DECIMAL(20,0)) AS seqno),
+  CAST(coalesce(sum(CASE WHEN seqno % 4000 < before THEN 1 ELSE 0 END) OVER (PARTITION BY host ORDER BY arrival), 0) AS INTEGER) AS boot_no
+FROM (SELECT *, lag(seqno % 4000) OVER (PARTITION BY host ORDER BY arrival) AS before FROM kgood)""",
+    "ksampled": """
+SELECT g.*, s.real_now_us, s.boot_now_us,
+  coalesce(g.tstamp_sec > s.boot_now_us // 1000000 OR (g.tstamp_sec = s.boot_now_us // 1000000
+    AND g.tstamp_nsec > (s.boot_now_us % 1000000) * 1000), false) AS later
+FROM kgood g ASOF LEFT JOIN clock_samples s ON g.host = s.host AND g.arrival >= s.arrival""",
+    "ksclamped": """
+SELECT host, source, arrival,
+  CASE WHEN later THEN boot_now_us // 1000000 ELSE tstamp_sec END AS tstamp_sec,
+  CAST(CASE WHEN later THEN (boot_now_us % 1000000) * 1000 ELSE tstamp_nsec END AS INTEGER) AS tstamp_nsec,
+  facility, severity, tag, pid, seqno, body, real_now_us - boot_now_us AS off
+FROM ksampled""",
     "cursored": """
 SELECT g.* FROM good g LEFT JOIN cursor_t c ON g.host = c.host
 WHERE g.seqno IS NULL OR c.seqno IS NULL OR c.seqno = 0 OR g.seqno > c.seqno""",
@@ -211,12 +231,13 @@ WHERE rotation < frot""",
 }
 
 # Which CTEs each stage needs, in order.
-_ORDER = ["raw_kernel", "raw_syslog", "raw_queue", "boot_clock", "cursor_t", "volume",
-          "kparse", "sparse", "qparse", "parsed", "good", "kgood", "clock", "cursored",
+_ORDER = ["raw_kernel", "raw_syslog", "raw_queue", "boot_clock", "clock_samples", "cursor_t", "volume",
+          "kparse", "sparse", "qparse", "parsed", "good", "kgood", "kboots", "ksampled", "ksclamped", "clock", "cursored",
           "clamped", "walled", "lines", "sizes", "pk_in", "pk", "packed", "rotated"]
 _DEPS = {
     "kparse": ["raw_kernel"], "sparse": ["raw_syslog"], "qparse": ["raw_queue"],
     "parsed": ["kparse", "sparse", "qparse"], "good": ["parsed"], "kgood": ["kparse"],
+    "kboots": ["kgood"], "ksampled": ["kgood", "clock_samples"], "ksclamped": ["ksampled"],
     "clock": ["boot_clock"], "cursored": ["good", "cursor_t"], "clamped": ["cursored", "clock"],
     "walled": ["clamped", "clock"], "lines": ["walled"],
     "sizes": ["volume"], "pk_in": ["lines", "sizes"], "pk": ["pk_in"],
@@ -294,6 +315,19 @@ SELECT g.host, g.source, g.arrival,
 FROM (SELECT g.*, k.now_sec, k.now_nsec,
         coalesce(g.tstamp_sec > k.now_sec OR (g.tstamp_sec = k.now_sec AND g.tstamp_nsec > k.now_nsec), false) AS later
       FROM kgood g LEFT JOIN clock k ON g.host = k.host) g"""),
+    "number_boots": with_ctes(["kboots"], f"SELECT {KEY}, boot_no FROM kboots"),
+    "after_cursor_boots": with_ctes(["kboots", "cursor_t"], """
+SELECT g.* EXCLUDE (before, boot_no) FROM kboots g LEFT JOIN cursor_t c ON g.host = c.host
+WHERE c.seqno IS NULL OR c.seqno = 0 OR g.seqno > c.seqno OR g.boot_no > 0"""),
+    "advance_cursor_boots": with_ctes(["kboots", "cursor_t"], """
+SELECT host, CAST(max(seqno) AS DECIMAL(20,0)) AS seqno FROM (
+  SELECT host, seqno FROM (SELECT *, max(boot_no) OVER (PARTITION BY host) AS newest FROM kboots) WHERE boot_no = newest
+  UNION ALL SELECT host, seqno FROM cursor_t WHERE host NOT IN (SELECT host FROM kboots WHERE boot_no > 0)) GROUP BY host"""),
+    "clamp_future_samples": with_ctes(["ksclamped"], f"SELECT {LOG} FROM ksclamped"),
+    "to_wall_clock_samples": with_ctes(["ksclamped"], """
+SELECT host, source, arrival, t // 1000000000 AS tstamp_sec, CAST(t % 1000000000 AS INTEGER) AS tstamp_nsec,
+  facility, severity, tag, pid, seqno, body
+FROM (SELECT *, tstamp_sec * 1000000000 + tstamp_nsec + coalesce(off, 0) * 1000 AS t FROM ksclamped)"""),
     "merge_sources": with_ctes(["kparse", "sparse", "qparse"], f"""
 SELECT {LOG} FROM kparse WHERE reason IS NULL
 UNION ALL SELECT {LOG} FROM sparse WHERE reason IS NULL

@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.clock import boot_offsets, clamp_future, to_wall_clock
-from ..operators.cursor import advance_cursor, after_cursor, sequence_gaps
+from ..operators.clock import (boot_offsets, clamp_future, clamp_future_sampled, to_wall_clock,
+                               to_wall_clock_sampled)
+from ..operators.cursor import (advance_cursor, advance_cursor_boots, after_cursor,
+                                after_cursor_boots, number_boots, sequence_gaps)
 from ..operators.files import (effective_file_size, file_manifest, keep_rotations,
                                take_by_bytes)
 from ..operators.order import drop_duplicates, merge_sources, number_lines
@@ -41,6 +43,7 @@ CAP_BYTES = 64  # some kernel records are longer
 TAKE_MAX_BYTES = 4096
 TAKE_MAX_ROWS = 48
 SEVERITY_MAX = 4
+BOOT_RECORDS = 4000
 
 KEY = ["host", "source", "arrival"]
 
@@ -146,6 +149,32 @@ def q_advance_cursor(spark, sf):
     return advance_cursor(after_cursor(_kernel_good(spark, sf), c), c)
 
 
+def _rebooted(spark, sf) -> DataFrame:
+    """Kernel records of hosts that reboot: numbers begin anew every
+    ``BOOT_RECORDS`` records."""
+    return _kernel_good(spark, sf).withColumn("seqno", F.expr(f"cast(seqno % {BOOT_RECORDS} as decimal(20,0))"))
+
+
+def q_number_boots(spark, sf):
+    return number_boots(_rebooted(spark, sf)).select(*KEY, "boot_no")
+
+
+def q_after_cursor_boots(spark, sf):
+    return after_cursor_boots(_rebooted(spark, sf), captures.cursor(spark, sf))
+
+
+def q_advance_cursor_boots(spark, sf):
+    return advance_cursor_boots(_rebooted(spark, sf), captures.cursor(spark, sf))
+
+
+def q_clamp_future_samples(spark, sf):
+    return clamp_future_sampled(_kernel_good(spark, sf), captures.clock_samples(spark, sf))
+
+
+def q_to_wall_clock_samples(spark, sf):
+    return to_wall_clock_sampled(_kernel_good(spark, sf), captures.clock_samples(spark, sf))
+
+
 def q_sequence_gaps(spark, sf):
     return sequence_gaps(_kernel_good(spark, sf))
 
@@ -288,7 +317,12 @@ QUERIES: dict[str, Query] = {
     "after_cursor": q_after_cursor,
     "advance_cursor": q_advance_cursor,
     "sequence_gaps": q_sequence_gaps,
+    "number_boots": q_number_boots,
+    "after_cursor_boots": q_after_cursor_boots,
+    "advance_cursor_boots": q_advance_cursor_boots,
     "clamp_future": q_clamp_future,
+    "clamp_future_samples": q_clamp_future_samples,
+    "to_wall_clock_samples": q_to_wall_clock_samples,
     "merge_sources": q_merge_sources,
     "order_by_time": q_order_by_time,
     "drop_duplicates": q_drop_duplicates,

@@ -8,6 +8,7 @@ good and bad records and the work grows with the tables:
 * ``raw_kernel`` from ``events`` (one kernel record per event),
 * ``raw_syslog`` from ``conversations`` (one datagram per turn),
 * ``raw_queue`` from ``orders`` (one typed message per order),
+* ``clock_samples`` from ``events`` (one reading at every 50th event),
 * ``boot_clock``, ``cursor`` and ``volume`` from ``nation`` (one row per host).
 
 All of them are lazy DataFrames over the parquet scans.
@@ -140,6 +141,18 @@ def raw_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         pid.cast("int").alias("pid"))
 
 
+@_once
+def clock_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clock readings of each host while kernel records were taken: one at
+    every 50th event, some seconds behind it, with a wall clock that drifts."""
+    ev = _table(spark, sf_dir, "events").where(F.col("event_id") % 50 == 0)
+    eid = F.col("event_id")
+    boot = epoch_micros(ev, "ts") - F.lit(KERNEL_EPOCH_US) - (eid % 7) * 1000000
+    return ev.select(host_of(F.col("user_id")).alias("host"), F.lit("kernel").alias("source"), eid.alias("arrival"),
+                     (boot + F.lit(KERNEL_EPOCH_US) + (eid % 1000) * 1000).cast("bigint").alias("real_now_us"),
+                     boot.cast("bigint").alias("boot_now_us"))
+
+
 def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "nation", spread_rows=False)
 
