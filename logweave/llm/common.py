@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,12 +25,32 @@ def ship(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+_RECORDS: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables stored inside it, but for the last one, which is
+    its result: use it round an action that needs the others no more."""
+    paths: list[str] = []
+    _RECORDS.append(paths)
+    try:
+        yield
+    finally:
+        del _RECORDS[next(i for i, own in enumerate(_RECORDS) if own is paths)]
+    for path in paths[:-1]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def stored(df: DataFrame, name: str, *partition_by: str, schema: str | None = None) -> DataFrame:
     """``df`` written as Parquet under the shared checkpoint folder and read
     again (as ``schema``, if one is given): lineage is cut, and a lost executor
     loses nothing."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    for paths in _RECORDS:
+        paths.append(path)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(schema or df.schema).parquet(path)

@@ -162,16 +162,18 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     source, n_chars)``: for every document and pass, the words taken, in
     their order and with the white space that follows each."""
     _, stretches = mix_sources(docs)
-    runs = (stretches.groupBy("doc_id", "_k1", "_k2", "source", "_start", "pass")
+    # rows are known by two hashes of all that tells them apart; the short
+    # stretches are dealt by them once, and the texts once, by the join
+    row = F.xxhash64("doc_id", "source", "_k1", "_k2").alias("_row")
+    runs = (stretches.select(row, "_k2", "_start", "pass", "first", "words").repartition("_row", "_k2")
+            .groupBy("_row", "_k2", "_start", "pass")
             .agg(F.sort_array(F.collect_list(F.struct("first", "words"))).alias("runs"))
-            .groupBy("doc_id", "_k1", "_k2", "source").agg(F.collect_list("runs").alias("takes")))
+            .groupBy("_row", "_k2").agg(F.collect_list("runs").alias("takes")))
     keyed = docs.select("doc_id", "text", "lang", "source", F.xxhash64("text").alias("_k1"),
-                        F.xxhash64(F.lit(1), "text").alias("_k2")).dropDuplicates(["doc_id", "_k1", "_k2", "source"])
-    same = (F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & F.col("d.source").eqNullSafe(F.col("r.source"))
-            & (F.col("d._k1") == F.col("r._k1")) & (F.col("d._k2") == F.col("r._k2")))
-    joined = (keyed.alias("d").join(runs.alias("r"), same)
-              .select("d.doc_id", "d.lang", "d.source", "takes",
-                      F.regexp_extract_all("d.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("words"))
+                        F.xxhash64(F.lit(1), "text").alias("_k2")).select("doc_id", "text", "lang", "source", row, "_k2")
+    joined = (keyed.join(runs, ["_row", "_k2"]).dropDuplicates(["_row", "_k2"])
+              .select("doc_id", "lang", "source", "takes",
+                      F.regexp_extract_all("text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0)).alias("words"))
               .withColumn("take", F.explode("takes")))
     text = F.array_join(F.flatten(F.transform("take", lambda r: F.slice(
         F.col("words"), (r["first"] + 1).cast("int"), r["words"].cast("int")))), "")

@@ -220,6 +220,18 @@ def near_duplicates(docs: DataFrame, miss: float = MISS, rounds: int = ROUNDS) -
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
+def near_filter(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """One row of each group of near-duplicates, with the given columns
+    (``doc_id`` and ``text`` among them). Rows are judged by themselves, not by
+    their ids, so rows without an id take part, and different texts under one
+    id are different documents. Of rows equal in both one stays; of a group,
+    the row with the smallest hash of id and text."""
+    rows = docs.select(*columns, F.xxhash64("doc_id", "text").alias("_row"))
+    kept = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).where("kept")
+    return (rows.join(kept.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_semi")
+            .dropDuplicates(["_row"]).select(*columns))
+
+
 def _mixed(rows: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components."""
     keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
