@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logweave.llm.common import stored, table
+from logweave.llm.common import scratch, stored, table
 from logweave.llm.line_dedup import line_filter
 from logweave.llm.mixing import mixed_documents
-from logweave.llm.near_dup import near_duplicates
+from logweave.llm.near_dup import near_filter
 from logweave.llm.packing import pack
 from logweave.llm.quality_rules import quality_filter
 
@@ -31,10 +31,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates
-    stays. Of rows with equal ids one stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group of near-duplicates stays: that with the
+    smallest hash of id and text. Documents without an id take part, and of
+    rows equal in id and text one stays."""
+    return near_filter(docs, COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
