@@ -43,17 +43,11 @@ ROUNDS, ORACLES, NEAR, STEP = 100, 64, 0.9, 0.5
 #: (how fast prices fall, how much long pieces are favoured) of the programs
 #: solved; the plan with the fewest sequences is taken.
 TRIALS = ((0.5, 1.1), (1.0, 1.02), (3.0, 1.02))
-CACHE = 200_000
-#: White space next to a space: there a cut before the space may not be a
-#: cut between tokens.
-_CLOSE = re.compile(r"\s | \s")
 
 
 class Tokenizer:
     """The ids of ``tokenizers`` for a vocabulary file, as little-endian
-    unsigned 32-bit bytes. Stretches that begin at a single space are tokens
-    of their own, so their ids are kept in a bounded cache; texts with other
-    runs of white space are encoded whole, and those that spell a special
+    unsigned 32-bit bytes. Texts are encoded whole; those that spell a special
     token go through the library itself."""
 
     def __init__(self, name: str = TOKENIZER):
@@ -65,28 +59,12 @@ class Tokenizer:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                       special_tokens={})
-        self.cache: dict[str, bytes] = {}
-
-    def _bytes(self, text: str) -> bytes:
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        self.marked = re.compile("|".join(map(re.escape, self.special)) or "(?!)")
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if self.marked.search(text):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if _CLOSE.search(text):
-            return self._bytes(text)
-        parts = text.split(" ")
-        cache, out = self.cache, [self._bytes(parts[0])]
-        for part in parts[1:]:
-            found = cache.get(part)
-            if found is None:
-                found = self._bytes(" " + part)
-                if len(part) < 32:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    cache[part] = found
-            out.append(found)
-        return b"".join(out)
+        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, name: str = TOKENIZER) -> DataFrame:
