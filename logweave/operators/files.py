@@ -11,6 +11,10 @@ from .order import with_source_rank
 from .ordered import CHUNK, ROW_ID, chunk_offsets, ordered_chunks
 
 
+#: Spark's default for the largest rank limit that it applies before a shuffle.
+GROUP_LIMIT = 1000
+
+
 def _int_div(a: Column, b: Column) -> Column:
     """Exact floor division of non-negative integers."""
     a = a.cast("decimal(20,0)")
@@ -37,10 +41,17 @@ def take_by_bytes(df: DataFrame, max_bytes: int, max_rows: int) -> DataFrame:
     lines whose ``line_bytes`` add up to at most ``max_bytes``; empty when
     the first line alone is too long. Adds ``take_no`` and ``cum_bytes``.
 
-    Lines are numbered and summed over ordered chunks, so no host is in one
-    task; chunks that begin beyond a limit are left out unread.
+    A line past the first ``max_rows`` of its host in its own partition can't
+    be taken, so it is dropped before anything is shuffled (Spark does so for
+    a rank limit of at most ``GROUP_LIMIT``; larger budgets go on with all
+    lines). The rest is numbered and summed over ordered chunks, so no host is
+    in one task; chunks that begin beyond a limit are left out unread.
     """
-    chunks = ordered_chunks(with_source_rank(df), ["host"], TIME_ORDER, row_ids=True)
+    lines = with_source_rank(df)
+    if max_rows <= GROUP_LIMIT:
+        rank = F.row_number().over(Window.partitionBy("host").orderBy(*TIME_ORDER))
+        lines = lines.withColumn("_rank", rank).where(F.col("_rank") <= max_rows).drop("_rank")
+    chunks = ordered_chunks(lines, ["host"], TIME_ORDER, row_ids=True)
     offsets = chunk_offsets(chunks, ["host"], {"_bytes": "line_bytes"}).where(
         (F.col("_rows_before") < max_rows) & (F.col("_bytes_before") <= max_bytes))
     within = Window.partitionBy("host", CHUNK).orderBy(ROW_ID).rowsBetween(
