@@ -8,9 +8,9 @@ repeats its neighbour, or the word before that, one feature that is the same
 for all words is counted instead: repetition counts, not what repeats.
 Counts are scaled to length 1.
 
-The model is fitted on at most ``SAMPLE`` labelled rows (those of smallest
-hash of the id, so reruns agree), in one task that streams them; the weights
-are one row of ``4 * 2 ** BITS`` bytes. Scores read every whole text.
+The model is fitted on at most ``SAMPLE`` labelled rows (distinct in id and
+text, those of smallest hash of both, so reruns agree and an id that many rows
+share takes no more than its part), in one task; the weights are one row of ``4 * 2 ** BITS`` bytes. Scores read every whole text.
 
 A null or empty text has no features and is scored by the bias alone. With
 no labelled rows the weights are zero and every score is 0.5. Repeated rows
@@ -81,12 +81,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS)
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from the texts of ``docs(doc_id, text)`` and their
     ``labels(doc_id, label)``, label 0 or 1."""
-    chosen = (labels.where("label in (0, 1) and doc_id is not null").select("doc_id", "label")
-              .join(docs.select("doc_id"), "doc_id", "left_semi").distinct()
-              .withColumn("_h", F.xxhash64("doc_id")).orderBy("_h", "doc_id", "label").limit(sample))
+    own = F.xxhash64("doc_id", "text").alias("_row")
+    chosen = (docs.select("doc_id", own).join(labels.where("label in (0, 1)").select("doc_id", "label"), "doc_id")
+              .select("_row", "doc_id", "label").distinct().orderBy("_row", "doc_id", "label").limit(sample))
     # at most ``sample`` rows of three numbers: only ids meet the labels, and texts aren't shuffled before they are chosen
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(
-        F.broadcast(chosen), "doc_id").select("_h", "doc_id", "label", "text")
+    rows = docs.select("doc_id", own, F.col("text").cast("binary").alias("text")).join(
+        F.broadcast(chosen), ["doc_id", "_row"]).select("_row", "doc_id", "label", "text")
 
     def featurise(batches):
         for batch in batches:
@@ -94,15 +94,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(2).cast(pa.int32()),
                  pa.array([p.tobytes() for p, _ in found], pa.binary()),
-                 pa.array([v.tobytes() for _, v in found], pa.binary())], ["_h", "doc_id", "label", "place", "value"])
+                 pa.array([v.tobytes() for _, v in found], pa.binary())], ["_row", "doc_id", "label", "place", "value"])
 
     def learn(batches):
         rows = [(np.frombuffer(p, np.int32), np.frombuffer(v, np.float32), y) for batch in batches
                 for y, p, v in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
         yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
 
-    found = rows.mapInArrow(featurise, "_h bigint, doc_id bigint, label int, place binary, value binary")
-    model = found.repartition(1).sortWithinPartitions("_h", "doc_id", "label").mapInArrow(learn, "weights binary")
+    found = rows.mapInArrow(featurise, "_row bigint, doc_id bigint, label int, place binary, value binary")
+    # rows that repeat, however often, count once, so that one task learns from ``sample`` rows at most
+    found = found.groupBy("_row", "doc_id", "label").agg(F.min("place").alias("place"), F.min("value").alias("value"))
+    model = found.repartition(1).sortWithinPartitions("_row", "doc_id", "label").mapInArrow(learn, "weights binary")
     learnt = model.collect()
     return (np.frombuffer(bytes(learnt[0]["weights"]), np.float32) if learnt
             else np.zeros((1 << BITS) + 1, np.float32))
