@@ -5,8 +5,8 @@ at least ``MIN_DOCS`` of its documents (the vocabulary size is the largest
 integer, so nothing is cut). Terms carry their language, so one vectorizer
 serves all languages, and its vectors are exact sparse counts. A vectorizer
 holds its vocabulary on the driver and broadcasts it; terms are therefore
-dealt by hash over as many vectorizers as keep one to about ``TERMS`` distinct
-terms, and one is in use at a time.
+dealt by hash over as many vectorizers as keep one to about ``TERMS`` terms,
+and one is in use at a time.
 
 The sparse vectors are summed for each group (language and source). A group
 gives a term with ``count`` occurrences the probability, in parts of
@@ -37,9 +37,10 @@ from .common import ship, stored
 
 ship(__name__)
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 MIN_DOCS = 30
 TERMS = 1_000_000
+ONE_IN = 64
+WORDS = 200_000
 SCALE = 1_000_000_000
 PRIOR = 5
 TOP = 50
@@ -48,25 +49,44 @@ CELLS = 1 << 20
 _VECTOR = "type tinyint, size int, indices array<int>, values array<double>"
 
 
+#: Bytes of a term stay, A-Z in lower case; all others are blanks.
+_TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """``lang, source, terms`` for every row; a term is its language, a NUL
     and the word (which holds no NUL)."""
-    upper = "".join(map(chr, range(65, 91)))
-    text, lang, source = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("text", "lang", "source"))
-    words = F.regexp_extract_all(text, F.lit(TERM), F.lit(0))
-    # lower() changes only A-Z of an ASCII word, and is far quicker
-    low = lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(F.translate(w, upper, upper.lower()))
-    return docs.select(lang.alias("lang"), source.alias("source"), words.alias("words")).withColumn(
-        "terms", F.transform("words", lambda w: F.concat("lang", F.lit("\0"), low(w)))).drop("words")
-
-
-def term_counts(rows: DataFrame, min_docs: int = MIN_DOCS, terms: int = TERMS) -> DataFrame:
+    def work(batches):
+        for batch in batches:
+            flat, ends, first = [], [0], 0
+            for row, (lang, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                head = lang + b"\0"
+                flat += [head + word for word in text.translate(_TERM_BYTES).split()]
+                ends.append(len(flat))
+                if len(flat) > WORDS or row + 1 == batch.num_rows:
+                    terms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.binary()).cast(pa.string()))
+                    own = [batch.column(i).slice(first, row + 1 - first).cast(pa.string()) for i in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*own, terms], ["lang", "source", "terms"])
+                    flat, ends, first = [], [0], row + 1
+
+    rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary").alias(c) for c in ("lang", "source", "text")])
+    return rows.mapInArrow(work, "lang string, source string, terms array<string>")
+
+
+def vectorizers(rows: DataFrame, min_docs: int = MIN_DOCS, terms: int = TERMS) -> int:
+    """How many vectorizers keep each to about ``terms`` terms: judged by the
+    terms of one in ``ONE_IN`` hash values that occur ``min_docs`` times, over
+    all rows. It sets how the work is cut, and no result."""
+    mine = rows.select(F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ONE_IN)) == 0)
+    many = mine.groupBy("term").count().where(F.col("count") >= min_docs).count()
+    return max(1, math.ceil(many * ONE_IN / terms))
+
+
+def term_counts(rows: DataFrame, min_docs: int = MIN_DOCS, parts: int = 1) -> DataFrame:
     """``lang, source, term, n``: occurrences of the kept terms in the groups
-    that have them. ``rows`` (of :func:`tokens`) is read several times."""
-    spark = rows.sparkSession
-    distinct = rows.select(F.explode("terms").alias("term")).agg(F.approx_count_distinct("term")).first()[0]
-    parts = max(1, math.ceil(1.1 * distinct / terms))
-    sums = None
+    that have them. ``rows`` (of :func:`tokens`) is read twice for each of
+    the ``parts`` vectorizers."""
+    spark, sums = rows.sparkSession, None
     for part in range(parts):
         own = rows if parts == 1 else rows.withColumn("terms", F.filter(
             "terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part))
@@ -146,7 +166,7 @@ def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, terms: int = TERMS, to
     the other sources of its language (``pair``), and the ``top`` terms that
     it uses more than its language does (``term``)."""
     rows = stored(tokens(docs), "tokens")
-    counts = term_counts(rows, min_docs, terms)
+    counts = term_counts(rows, min_docs, vectorizers(rows, min_docs, terms))
     of_lang = stored(counts.groupBy("lang", "term").agg(F.sum("n").alias("n")), "of-lang")
     kept = of_lang.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_total"))
     groups = (rows.select("lang", "source").distinct().join(kept, "lang", "left")
