@@ -120,3 +120,17 @@ def line_filter(docs: DataFrame, columns: list[str]) -> DataFrame:
     return out.select(*[F.col("kept_text").alias("text") if c == "text"
                         else F.length("kept_text").cast("bigint").alias("n_chars") if c == "n_chars"
                         else F.col(c) for c in columns])
+
+
+#: The report in DuckDB SQL.
+SQL = """
+with docs as (select row_number() over () as d, doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents),
+lines as (select d, doc_id, unnest(lines) as line, unnest(range(len(lines))) as i from docs),
+keys as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+shared as (select key from keys where key <> '' group by key having count(distinct d) >= 10),
+marked as (select k.*, s.key is not null as gone from keys k left join shared s on k.key = s.key)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
+from marked group by d, doc_id
+"""

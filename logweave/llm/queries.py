@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import nearest
 from .common import table
 from .divergence import SQL as DIVERGENCE_SQL, divergence
-from .line_dedup import line_report
+from .line_dedup import SQL as LINES_SQL, line_report
 from .mixing import mix_report
 from .near_dup import near_duplicates
 from .packing import pack
@@ -17,7 +17,7 @@ from .quality_model import quality_scores
 from .quality_rules import quality_report
 from .secrets import secret_report
 from .simhash import simhash_groups
-from .spelling import spelling_groups
+from .spelling import SQL as SPELLING_SQL, spelling_groups
 from .suffix_dedup import repeat_report
 
 
@@ -79,4 +79,4 @@ QUERIES = {f.__name__: f for f in (
     op12_simhash, op13_source_divergence)}
 
 #: Hash-based and iterative operators have no SQL; see the brute-force tests.
-ORACLE: dict[str, str] = {"op13_source_divergence": DIVERGENCE_SQL}
+ORACLE: dict[str, str] = {"op10_line_dedup": LINES_SQL, "op11_spelling_variants": SPELLING_SQL, "op13_source_divergence": DIVERGENCE_SQL}

@@ -171,3 +171,41 @@ def spelling_groups(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAS
     found = roots(joined.where("form is not null"))
     return joined.join(found, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+
+
+#: The same result in DuckDB SQL: crc32 folded over the bytes with its table,
+#: near words through the words with one code point left out.
+SQL = r"""
+with recursive bits as (select i, 0 as k, i::bigint as c from range(256) r(i)
+  union all select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+crc as (select list(c order by i) as tab from bits where k = 8),
+runs as (select coalesce(doc_id::varchar, '') as id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run,
+                count(*) as n
+         from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) as run from documents)
+         where length(run) >= 5 group by all),
+spelt as (select run, n, hex(encode(id || ':' || run)) as h from runs),
+hashed as (select run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(h) // 2),
+                  lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint)),
+                  lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) as h
+           from spelt, crc),
+words as (select word, sum(n)::bigint as n
+          from (select n, case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+                          else run end as word from hashed)
+          where length(word) >= 5 group by word having sum(n) >= 3),
+shorter as (select word, i, substr(word, 1, i) || substr(word, i + 2) as rest
+            from (select word, unnest(range(length(word))) as i from words)),
+near as (select distinct a, b from (
+  select x.word as a, y.word as b from shorter x join shorter y on x.rest = y.rest and x.i = y.i and x.word <> y.word
+  union all select x.word, y.word from shorter x join words y on x.rest = y.word
+  union all select y.word, x.word from shorter x join words y on x.rest = y.word)),
+best as (select a as word, count(*) as n_near, min(struct_pack(less := -w.n, word := w.word)) as first
+         from near join words w on w.word = b group by a),
+forms as (select w.word, w.n, coalesce(n_near, 0) as n_near,
+                 case when -b.first.less >= 2 * w.n then b.first.word end as form,
+                 case when -b.first.less >= 2 * w.n then -b.first.less end as form_n
+          from words w left join best b on w.word = b.word),
+walk as (select word, word as at from forms
+  union all select k.word, f.form from walk k join forms f on k.at = f.word where f.form is not null),
+ends as (select k.word, k.at as root from walk k join forms f on k.at = f.word where f.form is null)
+select f.word, f.form, e.root, f.n, f.n_near::bigint as n_near, f.form_n::bigint as form_n from forms f join ends e on f.word = e.word
+"""
