@@ -74,6 +74,18 @@ def chunk_offsets(chunks: DataFrame, keys: list[str], sums: dict[str, str] | Non
     return per_chunk.withColumns(cols).drop("_n", *[f"_sum_{n}" for n in (sums or {})])
 
 
+def number_ordered(df: DataFrame, keys: list[str], name: str = "line_no") -> DataFrame:
+    """Adds ``name``: 1-based position of the row within its ``keys`` group in
+    the order that ``df`` is in. ``df`` is sorted by ``keys`` first (a global
+    sort, whose partitions are ordered chunks)."""
+    chunks = cut_lineage(df.withColumns({CHUNK: F.spark_partition_id(), ROW_ID: F.monotonically_increasing_id()}))
+    offsets = chunk_offsets(chunks, keys)
+    joined = chunks.join(small_side(offsets), [*keys, CHUNK])
+    pos = F.col("_rows_before") + (F.col(ROW_ID) - F.col("_first_id")) + 1
+    return joined.withColumn(name, pos.cast("bigint")).drop(
+        CHUNK, ROW_ID, "_rows_before", "_first_id")
+
+
 def number_within(df: DataFrame, keys: list[str], order: list[str], name: str = "line_no",
                   num_chunks: int | None = None) -> DataFrame:
     """Adds ``name``: 1-based position of the row within its ``keys`` group

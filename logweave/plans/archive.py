@@ -28,7 +28,7 @@ from ..operators.quality import drop_malformed
 from ..schema import LOG_COLUMNS, ROTATIONS_DEFAULT
 from ..session import bounded_broadcast, same_size
 from ..sources.records import cap_payload
-from ..sources.sink import write_log_files
+from ..sources.sink import remove_log_files, write_log_files
 
 TIME_REASON = "time_range"
 MANIFEST_DDL = ("host string, file_no bigint, bytes bigint, lines bigint, first_sec bigint, "
@@ -118,16 +118,29 @@ def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None
     return Archive(kept, quarantine, new_manifest, new_cursor)
 
 
-def write_archive(archive: Archive, path: str, run: int = 0, mode: str = "overwrite") -> None:
+def remove_rotated(spark: SparkSession, path: str, old: DataFrame, new: DataFrame) -> int:
+    """Delete the files of the manifest ``old`` that the manifest ``new``
+    holds no more."""
+    gone = old.where(F.col("host").isNotNull()).join(new.select("host", "file_no"), ["host", "file_no"], "left_anti")
+    return remove_log_files(spark, f"{path}/logs", gone)
+
+
+def write_archive(archive: Archive, path: str, run: int = 0, mode: str = "overwrite",
+                  prune: bool = False) -> None:
     """Write one run: the lines as text files by host and file number, and
     the quarantine, manifest and cursor as Parquet tables. Every run has its
     own folders (``batch=run``), so a run that is written again replaces
     itself only. A log file is the part files of its number in run order;
-    which files are still kept is read off the newest manifest."""
+    which files are still kept is read off the newest manifest. ``prune``
+    deletes the files that this run rotated out: for a run that was built on
+    the manifest of ``run - 1``, whose files it compares."""
     write_log_files(archive.lines, f"{path}/logs/batch={run}", by="file_no", mode=mode)
     archive.quarantine.write.mode(mode).parquet(f"{path}/quarantine/batch={run}")
     archive.manifest.write.mode(mode).parquet(f"{path}/state/manifest/batch={run}")
     archive.cursor.write.mode(mode).parquet(f"{path}/state/cursor/batch={run}")
+    if prune and run > 0:
+        spark = archive.manifest.sparkSession
+        remove_rotated(spark, path, read_manifest(spark, path, run - 1), read_manifest(spark, path, run))
 
 
 def read_manifest(spark: SparkSession, path: str, run: int) -> DataFrame:
@@ -152,5 +165,5 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
 
 
 __all__ = ["Archive", "archive_lines", "build_log_archive", "newest_files", "parse_all",
-           "read_archive", "read_manifest", "write_archive",
+           "read_archive", "read_manifest", "remove_rotated", "write_archive",
            "LOG_COLUMNS"]

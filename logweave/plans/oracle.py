@@ -385,3 +385,6 @@ GROUP BY host, file_no"""),
     "stream_records": with_ctes(["raw_kernel"], "SELECT host, arrival, raw FROM raw_kernel"),
     "stream_log_archive": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated"),
 }
+ORACLE["number_lines"] = ORACLE["order_by_time"]
+# the same walk: the first half's lines, then on through the second's
+ORACLE["stream_log_archive_restart"] = ORACLE["archive_two_runs"]

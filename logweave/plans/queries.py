@@ -1,8 +1,8 @@
 """The registered queries: one per operator, each over the capture tables
 derived from the driver's parquet files (see :mod:`logweave.sources.captures`).
 
-Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame whose
-columns match the oracle SQL of the same name
+Every callable takes ``(spark, sf_dir)``, runs what its operator must store
+first, and returns a DataFrame whose columns match the oracle SQL of the same name
 (:mod:`logweave.plans.oracle`).
 """
 
@@ -19,7 +19,8 @@ from ..operators.cursor import (advance_cursor, advance_cursor_boots, after_curs
                                 after_cursor_boots, number_boots, sequence_gaps)
 from ..operators.files import (effective_file_size, file_manifest, keep_rotations,
                                take_by_bytes)
-from ..operators.order import drop_duplicates, merge_sources, number_lines
+from ..operators.order import drop_duplicates, merge_sources, number_lines, order_by_time
+from ..operators.ordered import number_ordered
 from ..operators.packing import assign_log_files, pack_log_files
 from ..operators.parse import (parse_kernel_log, parse_queue_log, parse_syslog_log,
                                split_priority)
@@ -192,6 +193,10 @@ def q_merge_sources(spark, sf):
 
 
 def q_order_by_time(spark, sf):
+    return number_ordered(order_by_time(_good(spark, sf)), ["host"]).select(*KEY, "line_no")
+
+
+def q_number_lines(spark, sf):
     return number_lines(_good(spark, sf)).select(*KEY, "line_no")
 
 
@@ -279,7 +284,8 @@ def q_archive_two_runs(spark, sf):
     v, out, manifest = _views(spark, sf), scratch_path(spark, "two-runs"), None
     for run in (0, 1):
         raw = [v[name].where(F.col("arrival") % 2 == run) for name in ("raw_kernel", "raw_syslog", "raw_queue")]
-        write_archive(build_log_archive(*raw, v["boot_clock"], v["cursor"], v["volume"], manifest=manifest), out, run)
+        write_archive(build_log_archive(*raw, v["boot_clock"], v["cursor"], v["volume"], manifest=manifest), out, run,
+                      prune=True)
         manifest = read_manifest(spark, out, run)
     return read_archive(spark, out).select("host", "file_no", "rotation", "line")
 
@@ -301,6 +307,17 @@ def q_stream_log_archive(spark, sf):
     return stream_archive_once(spark, v).select("host", "file_no", "rotation", "line")
 
 
+def q_stream_log_archive_restart(spark, sf):
+    """The stream takes the records with even arrival numbers, stops, and goes
+    on with the odd ones."""
+    from ..streaming.archive import stream_archive_restarted
+    v = _views(spark, sf)
+    parts = [{name: v[name].where(F.col("arrival") % 2 == run) for name in ("raw_kernel", "raw_syslog", "raw_queue")}
+             for run in (0, 1)]
+    return stream_archive_restarted(spark, parts, v["boot_clock"], v["cursor"], v["volume"]).select(
+        "host", "file_no", "rotation", "line")
+
+
 QUERIES: dict[str, Query] = {
     "read_kernel_records": q_read_kernel_records,
     "read_syslog_records": q_read_syslog_records,
@@ -325,6 +342,7 @@ QUERIES: dict[str, Query] = {
     "to_wall_clock_samples": q_to_wall_clock_samples,
     "merge_sources": q_merge_sources,
     "order_by_time": q_order_by_time,
+    "number_lines": q_number_lines,
     "drop_duplicates": q_drop_duplicates,
     "boot_offsets": q_boot_offsets,
     "to_wall_clock": q_to_wall_clock,
@@ -342,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "write_log_files": q_write_log_files,
     "stream_records": q_stream_records,
     "stream_log_archive": q_stream_log_archive,
+    "stream_log_archive_restart": q_stream_log_archive_restart,
 }
 
 __all__ = ["QUERIES", "LOG_COLUMNS"]

@@ -30,6 +30,21 @@ def write_log_files(df: DataFrame, path: str, by: str = "file_no", mode: str = "
     out.write.mode(mode).partitionBy("host", by).option("lineSep", "\n").text(path)
 
 
+def remove_log_files(spark: SparkSession, path: str, files: DataFrame, by: str = "file_no") -> int:
+    """Delete the log files ``files(host, <by>)`` under ``path`` in every
+    run's folder (``batch=...``); returns how many folders went. The driver
+    takes one name at a time and never a line; files that are gone already
+    are passed over, so removing them again changes nothing."""
+    escape = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    removed = 0
+    for row in files.select("host", by).distinct().toLocalIterator():
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch=*/host={escape(row['host'])}/{by}={row[by]}")
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.globStatus(where) or ():
+            removed += bool(fs.delete(status.getPath(), True))
+    return removed
+
+
 def read_log_files(spark: SparkSession, path: str, by: str = "file_no") -> DataFrame:
     """Lines written by :func:`write_log_files`: ``host, <by>, line`` (line
     with its newline)."""

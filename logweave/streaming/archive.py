@@ -12,7 +12,8 @@ each micro-batch goes through ``foreachBatch``:
    file is the part files of its number in batch order, so late rows are
    appended after what is already written;
 4. write the new manifest and then the new cursor as complete snapshots
-   ``state/manifest/batch=N`` and ``state/cursor/batch=N``.
+   ``state/manifest/batch=N`` and ``state/cursor/batch=N``;
+5. delete the files of earlier batches that are rotated out by now.
 
 Every write of batch N goes to its own folder, overwritten on replay, and
 the state of batch N is read from batch N - 1 only, so a batch that is run
@@ -30,7 +31,8 @@ from ..operators.order import merge_sources
 from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
-from ..plans.archive import MANIFEST_DDL, TIME_REASON, archive_lines, newest_files, read_archive
+from ..plans.archive import (MANIFEST_DDL, TIME_REASON, archive_lines, newest_files, read_archive,
+                             remove_rotated)
 from ..session import scratch_path
 from ..sources.sink import write_log_files
 from .sources import spool, stream_records
@@ -82,6 +84,9 @@ def archive_batch(batch: DataFrame, batch_id: int, out: str, clocks: DataFrame,
         kernel_good = drop_malformed(parsed).where(F.col("source") == "kernel")
         advance_cursor(kernel_good, cursor).write.mode("overwrite").parquet(
             f"{state}/cursor/batch={batch_id}")
+        # last, when the new state is there: what it rotated out
+        if batch_id > 0:
+            remove_rotated(spark, out, manifest, _previous_snapshot(spark, f"{state}/manifest", MANIFEST_DDL, batch_id + 1))
     finally:
         if lines is not None:
             lines.unpersist()
@@ -153,3 +158,18 @@ def stream_archive_once(spark: SparkSession, views: dict) -> DataFrame:
                                kernel_path=k, syslog_path=s, queue_path=q, cursor=views["cursor"])
     query.awaitTermination()
     return read_stream_archive(spark, out)
+
+
+def stream_archive_restarted(spark: SparkSession, parts: list[dict], clocks: DataFrame, cursor: DataFrame | None,
+                             volume: DataFrame) -> DataFrame:
+    """Each of ``parts`` (captures by view name) arrives while no query runs;
+    the archive is then started again on the same checkpoint, takes it as one
+    micro-batch, and stops. Returns the kept lines."""
+    out, paths = scratch_path(spark, "stream-archive"), {}
+    for part in parts:
+        for name, df in part.items():
+            path = paths.setdefault(name, scratch_path(spark, f"spool-{name}"))
+            df.write.mode("append").parquet(path)
+        stream_log_archive(spark, out, clocks, volume, kernel_path=paths["raw_kernel"], syslog_path=paths["raw_syslog"],
+                           queue_path=paths["raw_queue"], cursor=cursor).awaitTermination()
+    return read_stream_archive(spark, out)

@@ -102,3 +102,29 @@ def test_stream_drop_duplicates(spark):
     got = spark.read.parquet(out + "/data")
     assert got.count() == 51
     assert got.where("source = 'kernel'").count() == 1
+
+
+def test_restart_goes_on_and_rotated_out_files_are_deleted(spark):
+    """Two parts with a restart between them: the kept lines are those of the
+    manifest, and the folders on disk hold no other file."""
+    from logweave.streaming.archive import stream_archive_restarted
+    v = {n: b(spark, SF) for n, b in captures.CAPTURES.items()}
+    vol = v["volume"].withColumn("max_size", F.lit(4096).cast("bigint")).withColumn("max_rot", F.lit(2))
+    parts = [{n: v[n].where(F.col("arrival") % 2 == run) for n in ("raw_kernel", "raw_syslog", "raw_queue")}
+             for run in (0, 1)]
+    seen = []
+    import logweave.streaming.archive as archive
+    plain = archive.scratch_path
+    archive.scratch_path = lambda spark, name: seen.append(plain(spark, name)) or seen[-1]
+    try:
+        kept = stream_archive_restarted(spark, parts, v["boot_clock"], v["cursor"], vol)
+    finally:
+        archive.scratch_path = plain
+    out = seen[0]
+    on_disk = (spark.read.schema("value string, batch bigint, host string, file_no bigint").text(f"{out}/logs")
+               .select("host", "file_no").distinct())
+    manifest = spark.read.parquet(f"{out}/state/manifest/batch=1").select("host", "file_no")
+    first = spark.read.parquet(f"{out}/state/manifest/batch=0").select("host", "file_no")
+    assert first.join(manifest, ["host", "file_no"], "left_anti").count() > 0  # some were rotated out
+    assert {tuple(r) for r in on_disk.collect()} == {tuple(r) for r in manifest.collect()}
+    assert {tuple(r) for r in kept.select("host", "file_no").distinct().collect()} == {tuple(r) for r in manifest.collect()}
