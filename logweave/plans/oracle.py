@@ -22,9 +22,9 @@ SELECT concat('h', CAST(user_id % 25 AS VARCHAR)) AS host, event_id AS arrival,
          WHEN event_id % 19 = 5 THEN '1024'
          WHEN event_id % 23 = 7 THEN ' 6'
          ELSE CAST(event_id % 192 AS VARCHAR) END,
-    ',', CAST(event_id + 1 AS VARCHAR),
-    ',', CAST(epoch_us(ts) - 1704067200000000 AS VARCHAR),
-    ',-', CASE WHEN event_id % 29 = 1 THEN ',caller=T1' ELSE '' END, ';',
+    ',', CASE WHEN event_id % 41 = 6 THEN 'x' ELSE '' END, CAST(event_id + 1 AS VARCHAR),
+    ',', CAST(epoch_us(ts) - 1704067200000000 AS VARCHAR), CASE WHEN event_id % 43 = 8 THEN 'us' ELSE '' END,
+    ',-', CASE WHEN event_id % 29 = 1 THEN ',caller=T1' ELSE '' END, CASE WHEN event_id % 47 = 9 THEN '' ELSE ';' END,
     CASE WHEN event_id % 31 = 2 THEN ''
          ELSE concat(event_type, ': v=', CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), ' ', props) END,
     CASE WHEN event_id % 37 = 4 THEN ''
@@ -32,26 +32,27 @@ SELECT concat('h', CAST(user_id % 25 AS VARCHAR)) AS host, event_id AS arrival,
 FROM events""",
     "raw_syslog": r"""
 SELECT concat('h', CAST(conv_id % 25 AS VARCHAR)) AS host, conv_id * 100 + turn AS arrival,
-  concat('<', CAST((conv_id * 7 + turn) % 192 AS VARCHAR), '>',
-    CASE WHEN conv_id % 5 = 0 THEN 'Oct 11 22:14:15 '
+  concat('<', CASE WHEN conv_id % 19 = 7 THEN '1024' ELSE CAST((conv_id * 7 + turn) % 192 AS VARCHAR) END, '>',
+    CASE WHEN conv_id % 11 = 4 THEN 'a: ' ELSE concat(CASE WHEN conv_id % 5 = 0 THEN 'Oct 11 22:14:15 '
          WHEN conv_id % 5 = 1 THEN ''
          WHEN conv_id % 5 = 2 THEN 'a:b '
          WHEN conv_id % 5 = 3 THEN 'x:: '
          ELSE 'é ' END,
     role, CASE WHEN turn % 2 = 0 THEN concat('[', CAST(conv_id AS VARCHAR), ']') ELSE '' END,
-    ': ', text) AS raw,
+    CASE WHEN conv_id % 17 = 6 THEN ' ' ELSE '' END, ': ', CASE WHEN conv_id % 13 = 5 THEN chr(10) ELSE '' END, text) END) AS raw,
   CASE WHEN turn % 3 = 0 THEN NULL ELSE CAST(conv_id + 1 AS INTEGER) END AS sender_pid,
   CAST(conv_id * 60 AS BIGINT) AS recv_sec, CAST(turn * 1000000 AS INTEGER) AS recv_nsec
 FROM conversations""",
     "raw_queue": r"""
 SELECT concat('h', CAST(o_custkey % 25 AS VARCHAR)) AS host, o_orderkey AS arrival,
-  CAST(o_orderkey % 5000 AS BIGINT) AS tstamp_sec,
+  CAST(CASE WHEN o_orderkey % 53 = 11 THEN 253402300800 ELSE o_orderkey % 5000 END AS BIGINT) AS tstamp_sec,
   CAST((o_orderkey * 7919) % 1000000000 AS INTEGER) AS tstamp_nsec,
   CAST(o_orderkey % 256 AS INTEGER) AS prio,
   CAST(CASE WHEN o_orderkey % 13 = 0 THEN 0 WHEN o_orderkey % 11 = 0 THEN 40 ELSE 5 END AS INTEGER) AS tag_len,
+  CASE WHEN o_orderkey % 23 = 9 THEN 'x' ELSE
   concat(CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 11 = 0 THEN repeat('t', 40)
               ELSE 'order' END,
-         CASE WHEN o_orderkey % 17 = 1 THEN '' ELSE o_orderpriority END) AS data,
+         CASE WHEN o_orderkey % 17 = 1 THEN '' ELSE o_orderpriority END) END AS data,
   CAST(CASE WHEN o_orderkey % 7 = 0 THEN 0 WHEN o_orderkey % 7 = 1 THEN -1 ELSE o_custkey + 1 END AS INTEGER) AS pid
 FROM orders""",
     "boot_clock": """
@@ -198,10 +199,10 @@ SELECT *,
   strlen(line) AS line_bytes,
   CASE source WHEN 'kernel' THEN 0 WHEN 'syslog' THEN 1 ELSE 2 END AS source_rank
 FROM (SELECT *,
-  concat('<', CAST(facility | severity AS VARCHAR), '>', ts,
+  CASE WHEN ts IS NOT NULL THEN concat('<', CAST(facility | severity AS VARCHAR), '>', ts,
          CASE WHEN tag IS NOT NULL AND tag <> '' THEN
            concat(' ', left(tag, 31), CASE WHEN pid > 0 THEN concat('[', CAST(pid AS VARCHAR), ']') ELSE '' END, ':')
-         ELSE '' END, ' ', body, chr(10)) AS line
+         ELSE '' END, ' ', body, chr(10)) END AS line
   FROM (SELECT *, CASE WHEN tstamp_sec BETWEEN 0 AND 253402300799 THEN
           concat(strftime(make_timestamp(tstamp_sec * 1000000 + tstamp_nsec // 1000), '%Y-%m-%dT%H:%M:%S.%f'), '+00:00')
         END AS ts FROM walled))""",
@@ -381,6 +382,9 @@ GROUP BY host, file_no"""),
     # the walk goes through the first run's lines, then on through the second's
     "archive_two_runs": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated").replace(
         "ORDER BY l.tstamp_sec", "ORDER BY l.arrival % 2, l.tstamp_sec"),
+    "archive_quarantine": with_ctes(["parsed", "lines"], f"""
+SELECT {KEY}, reason FROM parsed WHERE reason IS NOT NULL
+UNION ALL SELECT {KEY}, 'time_range' FROM lines WHERE line IS NULL"""),
     "write_log_files": with_ctes(["rotated"], "SELECT host, file_no, line FROM rotated"),
     "stream_records": with_ctes(["raw_kernel"], "SELECT host, arrival, raw FROM raw_kernel"),
     "stream_log_archive": with_ctes(["rotated"], "SELECT host, file_no, rotation, line FROM rotated"),

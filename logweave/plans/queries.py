@@ -278,6 +278,10 @@ def q_build_log_archive(spark, sf):
     return _archive(spark, sf).lines.select(*KEY, "file_no", "rotation", "line")
 
 
+def q_archive_quarantine(spark, sf):
+    return _archive(spark, sf).quarantine.select(*KEY, "reason")
+
+
 def q_archive_two_runs(spark, sf):
     """Records with even arrival numbers first, then the odd ones in a run
     that starts from the manifest of the first."""
@@ -356,6 +360,7 @@ QUERIES: dict[str, Query] = {
     "keep_rotations": q_keep_rotations,
     "file_manifest": q_file_manifest,
     "build_log_archive": q_build_log_archive,
+    "archive_quarantine": q_archive_quarantine,
     "archive_two_runs": q_archive_two_runs,
     "write_log_files": q_write_log_files,
     "stream_records": q_stream_records,

@@ -27,6 +27,7 @@ from ..session import spread
 HOSTS = 25
 KERNEL_EPOCH_US = 1704067200000000
 BOOT_SPAN_US = 1296000000000
+YEAR_10000 = 253402300800
 
 
 # Capture views already built in this application, by (app, folder, name):
@@ -72,7 +73,8 @@ def host_of(key: Column) -> Column:
 @_once
 def raw_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One kernel record per event, with continuation lines, bad priorities,
-    extra header fields, empty bodies and missing newlines mixed in."""
+    numbers and times, extra header fields, headers without an end, empty
+    bodies and missing newlines mixed in."""
     ev = _table(spark, sf_dir, "events")
     eid = F.col("event_id")
     prio = (
@@ -87,10 +89,11 @@ def raw_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.when(eid % 37 == 4, F.lit("")).otherwise(
         F.concat(F.lit("\n DEVICE=c1:"), _s(F.col("user_id")), F.lit("\n")))
     raw = F.concat(
-        prio, F.lit(","), _s(eid + 1),
+        prio, F.lit(","), F.when(eid % 41 == 6, F.lit("x")).otherwise(F.lit("")), _s(eid + 1),
         F.lit(","), _s(epoch_micros(ev, "ts") - F.lit(KERNEL_EPOCH_US)),
+        F.when(eid % 43 == 8, F.lit("us")).otherwise(F.lit("")),
         F.lit(",-"), F.when(eid % 29 == 1, F.lit(",caller=T1")).otherwise(F.lit("")),
-        F.lit(";"), body, tail)
+        F.when(eid % 47 == 9, F.lit("")).otherwise(F.lit(";")), body, tail)
     return ev.select(host_of(F.col("user_id")).alias("host"),
                      eid.alias("arrival"), raw.alias("raw"))
 
@@ -99,7 +102,8 @@ def raw_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One datagram per conversation turn: dated, bare, colon, double colon
     and non-ASCII headers; the whole turn text as a multi-line UTF-8 body
-    (longer ones exceed the 1024-byte read buffer)."""
+    (longer ones exceed the 1024-byte read buffer). Some have a priority out
+    of range, hardly any text, an empty first line, or a blank for a tag."""
     cv = _table(spark, sf_dir, "conversations")
     cid, turn = F.col("conv_id"), F.col("turn")
     header = (
@@ -110,9 +114,12 @@ def raw_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.lit("é "))
     )
     raw = F.concat(
-        F.lit("<"), _s((cid * 7 + turn) % 192), F.lit(">"), header, F.col("role"),
-        F.when(turn % 2 == 0, F.concat(F.lit("["), _s(cid), F.lit("]"))).otherwise(F.lit("")),
-        F.lit(": "), F.col("text"))
+        F.lit("<"), F.when(cid % 19 == 7, F.lit("1024")).otherwise(_s((cid * 7 + turn) % 192)), F.lit(">"),
+        F.when(cid % 11 == 4, F.lit("a: ")).otherwise(F.concat(
+            header, F.col("role"),
+            F.when(turn % 2 == 0, F.concat(F.lit("["), _s(cid), F.lit("]"))).otherwise(F.lit("")),
+            F.when(cid % 17 == 6, F.lit(" ")).otherwise(F.lit("")), F.lit(": "),
+            F.when(cid % 13 == 5, F.lit("\n")).otherwise(F.lit("")), F.col("text"))))
     return cv.select(
         host_of(cid).alias("host"), (cid * 100 + turn).alias("arrival"), raw.alias("raw"),
         F.when(turn % 3 == 0, F.lit(None)).otherwise((cid + 1).cast("int")).alias("sender_pid"),
@@ -123,18 +130,20 @@ def raw_syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_once
 def raw_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One typed queue message per order: empty and over-long tags, pids 0
-    and -1, empty bodies, priorities past 191."""
+    and -1, empty bodies, single bytes, priorities past 191, times that can't
+    be printed."""
     od = _table(spark, sf_dir, "orders")
     key = F.col("o_orderkey")
     tag_len = F.when(key % 13 == 0, 0).when(key % 11 == 0, 40).otherwise(5)
     tag = (F.when(key % 13 == 0, F.lit("")).when(key % 11 == 0, F.lit("t" * 40))
            .otherwise(F.lit("order")))
-    data = F.concat(tag, F.when(key % 17 == 1, F.lit("")).otherwise(F.col("o_orderpriority")))
+    data = F.when(key % 23 == 9, F.lit("x")).otherwise(
+        F.concat(tag, F.when(key % 17 == 1, F.lit("")).otherwise(F.col("o_orderpriority"))))
     pid = (F.when(key % 7 == 0, 0).when(key % 7 == 1, -1)
            .otherwise(F.col("o_custkey") + 1))
     return od.select(
         host_of(F.col("o_custkey")).alias("host"), key.alias("arrival"),
-        (key % 5000).cast("bigint").alias("tstamp_sec"),
+        F.when(key % 53 == 11, F.lit(YEAR_10000)).otherwise(key % 5000).cast("bigint").alias("tstamp_sec"),
         ((key * 7919) % 1000000000).cast("int").alias("tstamp_nsec"),
         (key % 256).cast("int").alias("prio"),
         tag_len.cast("int").alias("tag_len"), data.alias("data"),
