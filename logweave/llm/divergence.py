@@ -39,7 +39,7 @@ ship(__name__)
 
 MIN_DOCS = 30
 TERMS = 1_000_000
-ONE_IN = 64
+ONE_IN = 16
 WORDS = 200_000
 SCALE = 1_000_000_000
 PRIOR = 5
@@ -74,12 +74,12 @@ def tokens(docs: DataFrame) -> DataFrame:
 
 
 def vectorizers(rows: DataFrame, min_docs: int = MIN_DOCS, terms: int = TERMS) -> int:
-    """How many vectorizers keep each to about ``terms`` terms: judged by the
-    terms of one in ``ONE_IN`` hash values that occur ``min_docs`` times, over
-    all rows. It sets how the work is cut, and no result."""
-    mine = rows.select(F.explode("terms").alias("term")).where(F.pmod(F.xxhash64("term"), F.lit(ONE_IN)) == 0)
-    many = mine.groupBy("term").count().where(F.col("count") >= min_docs).count()
-    return max(1, math.ceil(many * ONE_IN / terms))
+    """How many vectorizers keep each to about ``terms`` terms: judged on a
+    sample of one row in ``ONE_IN``, by the terms that occur in it at the rate
+    of ``min_docs`` in all rows. It sets how the work is cut, and no result."""
+    found = rows.sample(1 / ONE_IN, 7).select(F.explode("terms").alias("term"))
+    many = found.groupBy("term").count().where(F.col("count") >= max(1, min_docs // ONE_IN)).count()
+    return max(1, math.ceil(many / terms))
 
 
 def term_counts(rows: DataFrame, min_docs: int = MIN_DOCS, parts: int = 1) -> DataFrame:
@@ -91,14 +91,16 @@ def term_counts(rows: DataFrame, min_docs: int = MIN_DOCS, parts: int = 1) -> Da
         own = rows if parts == 1 else rows.withColumn("terms", F.filter(
             "terms", lambda t: F.pmod(F.xxhash64(t), F.lit(parts)) == part))
         model = CountVectorizer(inputCol="terms", outputCol="vector", minDF=min_docs, vocabSize=2**31 - 1).fit(own)
-        vectors = stored(model.transform(own).select("lang", "source", "vector"), "vectors",
-                         schema=f"lang string, source string, vector struct<{_VECTOR}>")
+        vectors = stored(model.transform(own).select("source", "vector"), "vectors",
+                         schema=f"source string, vector struct<{_VECTOR}>")
         names = spark.createDataFrame(list(enumerate(model.vocabulary)), "index int, term string")
         entry = F.explode(F.arrays_zip("vector.indices", "vector.values")).alias("_e")
-        summed = (vectors.select("lang", "source", entry).groupBy("lang", "source", F.col("_e.indices").alias("index"))
+        # the index is of one language's term, so the language needn't be a key
+        summed = (vectors.select("source", entry).groupBy("source", F.col("_e.indices").alias("index"))
                   .agg(F.sum(F.col("_e.values").cast("bigint")).alias("n")))
-        found = stored(summed.join(names, "index").select(
-            "lang", "source", F.substring_index("term", "\0", -1).alias("term"), "n"), "term-counts")
+        word = F.substring_index("term", "\0", -1)
+        lang = F.substring("term", F.lit(1), F.length("term") - F.length(word) - 1)
+        found = stored(summed.join(names, "index").select(lang.alias("lang"), "source", word.alias("term"), "n"), "term-counts")
         sums = found if sums is None else sums.union(found)
     return sums
 

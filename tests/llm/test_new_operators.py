@@ -169,7 +169,7 @@ def test_vectorizers_share_the_terms(spark):
     rows = divergence.stored(divergence.tokens(table(spark, "small")), "tokens")
     one, five = (sorted(map(tuple, divergence.term_counts(rows, 3, parts).collect())) for parts in (1, 5))
     assert one and one == five
-    assert divergence.vectorizers(rows, 1, 10) > 1
+    assert divergence.vectorizers(rows, 1, 10) > 1 and divergence.vectorizers(rows, 1, 10**9) == 1
 
 
 @pytest.mark.parametrize("name, min_docs", [("edge", 1), ("small", 3), ("empty", 30)])
