@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import FILE_SIZE_MAX, ROTATIONS_DEFAULT, TIME_ORDER
 from ..session import bounded_broadcast, same_size, small_side
 from .order import with_source_rank
-from .ordered import CHUNK, ROW_ID, chunk_offsets, ordered_chunks
+from .ordered import CHUNK, ROW_ID, chunk_offsets, in_order, ordered_chunks
 
 
 #: Spark's default for the largest rank limit that it applies before a shuffle.
@@ -77,10 +77,10 @@ def keep_rotations(df: DataFrame, max_rot: int | str = 2,
     """
     if newest is None:
         newest = df.groupBy("host").agg(F.max("file_no").alias("newest"))
-    out = df.join(small_side(newest.select("host", F.col("newest").alias("_newest"))), "host")
-    out = out.withColumn("rotation", (F.col("_newest") - F.col("file_no")).cast("bigint")).drop("_newest")
+    side = small_side(newest.select("host", F.col("newest").alias("_newest")))
+    out = df.join(side, "host").withColumn("rotation", (F.col("_newest") - F.col("file_no")).cast("bigint")).drop("_newest")
     limit = F.col(max_rot) if isinstance(max_rot, str) else F.lit(max_rot)
-    return out.where(F.col("rotation") < limit)
+    return in_order(out.where(F.col("rotation") < limit), df, side)
 
 
 def file_manifest(df: DataFrame) -> DataFrame:

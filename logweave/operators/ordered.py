@@ -58,6 +58,15 @@ def ordered_chunks(df: DataFrame, keys: list[str], order: list[str],
     return cut_lineage(out)
 
 
+def in_order(df: DataFrame, before: DataFrame, *sides: DataFrame, ordered: bool | None = None) -> DataFrame:
+    """Notes on ``df`` that its partitions are still ordered chunks: it comes
+    from ``before``, which was (or ``ordered`` says so), by joins with
+    ``sides`` that are all broadcast, so no row changed its partition."""
+    was = getattr(before, "_logweave_ordered", False) if ordered is None else ordered
+    df._logweave_ordered = was and all(getattr(s, "_logweave_small", False) for s in sides)
+    return df
+
+
 def chunk_offsets(chunks: DataFrame, keys: list[str], sums: dict[str, str] | None = None) -> DataFrame:
     """Per ``(keys, _chunk)``: the row count and the sums of ``sums`` over
     the earlier chunks of the same key (exclusive prefix), and the first row

@@ -52,7 +52,7 @@ from pyspark.sql import types as T
 from ..schema import FILE_SIZE_DEFAULT, ROTATE_FREE_MIN, ROTATIONS_DEFAULT, TIME_ORDER
 from ..session import bounded_broadcast, cut_lineage, same_size, small_side
 from .order import with_source_rank
-from .ordered import (CHUNK, ROW_ID, binary_schema, bytes_as_strings, ordered_chunks,
+from .ordered import (CHUNK, ROW_ID, binary_schema, bytes_as_strings, in_order, ordered_chunks,
                       strings_as_bytes)
 
 # The Arrow-batch functions below run in Python workers, which need not be
@@ -395,7 +395,7 @@ def pack_log_files(lines: DataFrame, sizes: DataFrame | None = None,
         f"sequence(_first_row div {BLOCK}, _last_row div {BLOCK})"))))
     numbered = (chunks.withColumn("_block", block).join(stretches, ["host", "_block"])
                 .where(F.col(ROW_ID).between(F.col("_first_row"), F.col("_last_row"))))
-    return numbered.select(*cols, "file_no"), newest
+    return in_order(numbered.select(*cols, "file_no"), chunks, stretches, ordered=True), newest
 
 
 def assign_log_files(lines: DataFrame, sizes: DataFrame | None = None,

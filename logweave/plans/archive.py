@@ -22,6 +22,7 @@ from ..operators.files import (effective_file_size, file_manifest, keep_rotation
                                merge_manifests)
 from ..operators.lines import format_lines
 from ..operators.order import drop_duplicates, merge_sources
+from ..operators.ordered import in_order
 from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
@@ -79,8 +80,9 @@ def archive_lines(parsed: DataFrame, clocks: DataFrame, cursor: DataFrame | None
 def newest_files(packed: DataFrame, newest: DataFrame, sizes: DataFrame) -> DataFrame:
     """The lines of the files that each host keeps, with ``rotation``."""
     rot = same_size(sizes, bounded_broadcast(sizes).select("host", F.col("max_rot").alias("_max_rot")))
-    return keep_rotations(packed.join(rot, "host", "left").fillna({"_max_rot": ROTATIONS_DEFAULT}),
-                          "_max_rot", newest=newest).drop("_max_rot")
+    sized = in_order(packed.join(rot, "host", "left").fillna({"_max_rot": ROTATIONS_DEFAULT}), packed, rot)
+    kept = keep_rotations(sized, "_max_rot", newest=newest)
+    return in_order(kept.drop("_max_rot"), kept)
 
 
 def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None,

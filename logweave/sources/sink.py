@@ -9,6 +9,19 @@ from ..schema import TIME_ORDER
 from ..operators.order import with_source_rank
 
 
+def _for_files(df: DataFrame, by: str) -> DataFrame:
+    """``value, host, <by>`` in the order of the files. Rows that come packed
+    in ordered chunks (see :func:`~logweave.operators.ordered.in_order`) are
+    in it already, chunk by chunk, and aren't shuffled again."""
+    line = F.col("line")
+    keys = ["host", by, *TIME_ORDER]
+    rows = with_source_rank(df)
+    if not getattr(df, "_logweave_ordered", False):
+        rows = rows.repartitionByRange(*keys)
+    return rows.sortWithinPartitions(*keys).select(
+        F.substring(line, F.lit(1), F.char_length(line) - 1).alias("value"), "host", by)
+
+
 def write_log_files(df: DataFrame, path: str, by: str = "file_no", mode: str = "overwrite") -> None:
     """Write each host's lines to ``path/host=H/<by>=N/part-*.txt`` in time
     order.
@@ -21,12 +34,7 @@ def write_log_files(df: DataFrame, path: str, by: str = "file_no", mode: str = "
     first, so the writer keeps the time order. The text writer ends every
     row with a newline, so the line is written without its own.
     """
-    line = F.col("line")
-    keys = ["host", by, *TIME_ORDER]
-    out = (with_source_rank(df)
-           .repartitionByRange(*keys)
-           .sortWithinPartitions(*keys)
-           .select(F.substring(line, F.lit(1), F.char_length(line) - 1).alias("value"), "host", by))
+    out = _for_files(df, by)
     out.write.mode(mode).partitionBy("host", by).option("lineSep", "\n").text(path)
 
 

@@ -9,6 +9,7 @@ from logweave.session import scratch_path
 from logweave.operators.files import keep_rotations, take_by_bytes
 from logweave.operators.order import drop_duplicates
 from logweave.plans import queries as Q
+from logweave.plans.archive import build_log_archive
 from logweave.sources import captures
 
 SF = "/root/testdata/sf0.001"
@@ -70,4 +71,14 @@ def test_packing_never_partitions_lines_by_host_alone(spark):
     packed = Q._packed(spark, SF)
     plan = _plan(packed)
     assert not re.search(r"Exchange hashpartitioning\(host#\d+, \d+\)", plan)
-    assert "MapInPandas" in plan
+    assert "MapInPandas" not in plan  # the scans read lengths, before; lines join their stretch of a file
+
+
+def test_packed_lines_are_written_without_another_shuffle(spark):
+    from logweave.sources.sink import _for_files
+    v = {n: b(spark, SF) for n, b in captures.CAPTURES.items()}
+    lines = build_log_archive(v["raw_kernel"], v["raw_syslog"], v["raw_queue"], v["boot_clock"], v["cursor"],
+                              v["volume"]).lines
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange range")
+    assert exchanges(_for_files(lines, "file_no")) == 0
+    assert exchanges(_for_files(lines.select("*"), "file_no")) == 1
