@@ -1,11 +1,14 @@
 """Scans for secrets: fixed patterns, and runs of high entropy.
 
 A candidate string is a run of key characters. A window slides over it and
-keeps, for each character class of the candidate (hexadecimal, letters and
-digits, any), the count of every character; Shannon entropy follows from
+keeps the count of every character; Shannon entropy follows from
 ``sum(count * log(count))``, which changes by two terms when the window
-moves. A candidate whose entropy somewhere passes its class's threshold is a
-span, unless the allow-list knows its form.
+moves. A candidate whose entropy somewhere passes the threshold of its
+character class (hexadecimal, letters and digits, any) is a span. Of one that
+doesn't, every maximal run of a narrower class is scored by itself against
+that class's threshold, so a key that is joined to a name or a path is still
+found. The allow-list takes known forms out, whole candidates and runs alike;
+letters alone are known as words unless their case changes like coin tosses.
 
 A null text is empty. A row stands for itself, so repeated rows and ids are
 of no matter; an empty table gives an empty result. Offsets are code points,
@@ -42,9 +45,14 @@ CLASSES = {
 ALLOWED = (
     re.compile(r"[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"),  # UUID
     re.compile(r"\d+"),  # numbers, handled by other scans
-    re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*"),  # words, paths and slugs
     re.compile(r"sha(?:1|256|384|512)[-_=].*"),  # integrity digests
 )
+#: Words, paths and slugs, if the case of neighbouring letters changes in
+#: less than this part of the places (names in camel case: up to about 0.4).
+WORDS = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*")
+CASE_CHANGES = 0.45
+#: Runs of each class, narrowest last.
+RUNS = tuple((name, re.compile("[%s]{%d,}" % ("".join(sorted(CLASSES[name][0])), WINDOW))) for name in ("alnum", "hex"))
 _LOG = [0.0, *(i * math.log2(i) for i in range(1, WINDOW + 1))]
 
 
@@ -71,13 +79,31 @@ def most_entropy(text: str, window: int = WINDOW) -> float:
     return best
 
 
+def allowed(text: str) -> bool:
+    if any(a.fullmatch(text) for a in ALLOWED):
+        return True
+    changes = sum(x.isalpha() and y.isalpha() and x.islower() != y.islower() for x, y in zip(text, text[1:]))
+    return bool(WORDS.fullmatch(text)) and changes < CASE_CHANGES * (len(text) - 1)
+
+
 def entropy_spans(text: str):
     for m in CANDIDATE.finditer(text):
         found = m.group()
-        if any(a.fullmatch(found) for a in ALLOWED):
+        own = character_class(found)
+        if allowed(found):
             continue
-        if most_entropy(found) >= CLASSES[character_class(found)][1]:
+        if most_entropy(found) >= CLASSES[own][1]:
             yield m.start(), m.end()
+            continue
+        taken: list[tuple[int, int]] = []
+        for name, runs in RUNS if own == "any" else RUNS[1:] if own == "alnum" else ():
+            for run in runs.finditer(found):
+                a, b = run.span()
+                if any(a < d and c < b for c, d in taken) or allowed(run.group()):
+                    continue
+                if most_entropy(run.group()) >= CLASSES[name][1]:
+                    taken.append((a, b))
+        yield from ((m.start() + a, m.start() + b) for a, b in sorted(taken))
 
 
 def scan(text: str) -> list[tuple[int, int, int]]:
