@@ -53,7 +53,12 @@ WORDS = re.compile(r"[A-Za-z]+(?:[-_/][A-Za-z]+)*")
 CASE_CHANGES = 0.45
 #: Runs of each class, narrowest last.
 RUNS = tuple((name, re.compile("[%s]{%d,}" % ("".join(sorted(CLASSES[name][0])), WINDOW))) for name in ("alnum", "hex"))
-_LOG = [0.0, *(i * math.log2(i) for i in range(1, WINDOW + 1))]
+def _logs(window: int) -> list[float]:
+    # a character enters the window before another leaves it
+    return [0.0, *(i * math.log2(i) for i in range(1, window + 2))]
+
+
+_LOG = _logs(WINDOW)
 
 
 def character_class(text: str) -> str:
@@ -64,7 +69,7 @@ def character_class(text: str) -> str:
 def most_entropy(text: str, window: int = WINDOW) -> float:
     """The highest Shannon entropy (bits) of any window of ``text``."""
     counts: dict[str, int] = {}
-    log, total, best = (_LOG if window == WINDOW else [0.0, *(i * math.log2(i) for i in range(1, window + 1))]), 0.0, 0.0
+    log, total, best = _LOG if window == WINDOW else _logs(window), 0.0, 0.0
     for i, c in enumerate(text):
         n = counts.get(c, 0)
         counts[c] = n + 1
