@@ -4,7 +4,8 @@ read -> parse (+ reason) -> good / quarantine -> cursor filter -> (drop
 duplicates) -> clamp -> wall clock -> line -> file number -> rotation ->
 write.
 
-Everything but the packing scan is one Catalyst plan. Rows cross the
+The parsed rows are stored; from there everything but the packing scan is one
+Catalyst plan. Rows cross the
 network at the duplicate drop (partially aggregated), at the range
 partitioning of the packing and at the write's partitioning by file.
 """
@@ -27,7 +28,7 @@ from ..operators.packing import pack_log_files
 from ..operators.parse import REASON, parse_kernel, parse_queue, parse_syslog
 from ..operators.quality import drop_malformed
 from ..schema import LOG_COLUMNS, ROTATIONS_DEFAULT
-from ..session import bounded_broadcast, same_size
+from ..session import bounded_broadcast, same_size, stored
 from ..sources.records import cap_payload
 from ..sources.sink import remove_log_files, write_log_files
 
@@ -91,8 +92,10 @@ def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None
                       state: DataFrame | None = None, dedupe: bool = False,
                       num_chunks: int | None = None, max_bytes: int | None = None,
                       manifest: DataFrame | None = None) -> Archive:
-    """The whole batch job as DataFrames. The packing's checkpoints and the
-    size checks run here; the outputs are computed when they are read.
+    """The whole batch job as DataFrames. The records are read and parsed here,
+    once: the range sampling, the packing and each output go by the stored
+    rows. The packing's checkpoints and the size checks run here too; the
+    outputs are computed when they are read.
 
     ``manifest`` is that of the run before: its newest files are continued,
     and the new manifest holds both runs. ``state`` (``host, file_no,
@@ -100,7 +103,7 @@ def build_log_archive(kernel_raw: DataFrame | None, syslog_raw: DataFrame | None
     doesn't know."""
     if manifest is not None and state is None:
         state = manifest_state(manifest)
-    parsed = parse_all(kernel_raw, syslog_raw, queue_raw, max_bytes)
+    parsed = stored(parse_all(kernel_raw, syslog_raw, queue_raw, max_bytes), "parsed")
     lines = archive_lines(parsed, clocks, cursor, dedupe)
     sizes = effective_file_size(volume)
     printable = lines.where(F.col("line").isNotNull())

@@ -121,3 +121,21 @@ def test_clamped_and_long_records_are_kept(spark):
         assert len(lines) == 4 and max(len(r["body"]) for r in lines) == 1500
     # a cap is there for who asks for it
     assert parse_all(raw, None, None, 1024).where("reason is not null").count() == 1
+
+
+def test_each_record_is_read_once(spark, views):
+    """The archive and all that is read of it parse every record one time."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(raw):
+        def work(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+        return raw.mapInArrow(work, raw.schema)
+
+    queue = views["raw_queue"].limit(200).cache()
+    built = build_log_archive(None, None, counted(queue), views["boot_clock"], views["cursor"], views["volume"], num_chunks=2)
+    assert built.lines.count() + built.quarantine.count() > 0
+    assert read.value == queue.count() == 200
+    queue.unpersist()
