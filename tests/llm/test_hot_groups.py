@@ -1,10 +1,16 @@
 """Results that must stay right where one length, source, passage or id is
 common, or very rare beside a common one."""
 
+import glob
+import re
+
 import numpy as np
 import pytest
 
-from logweave.llm import mixing, packing, quality_rules
+from logweave.llm import mixing, packing, quality_rules, suffix_dedup
+from logweave.session import checkpoint_dir
+
+from . import brute
 
 
 def sequences(histogram):
@@ -55,3 +61,29 @@ def test_windows_of_a_long_text_keep_their_whole_hash(spark):
     words = ["a1665272", "b", "c", *(f"w{i}" for i in range(1 << 20)), "a2057064", "b", "c"]
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id bigint, text string")
     assert quality_rules.statistics(docs, "doc_id").first()["n_repeat_words"] == 0
+
+
+def test_repeats_shuffle_the_texts_once(spark):
+    """Copies, pieces that differ round one passage, and a row twice: texts go
+    through one exchange, and the table of all anchors is gone afterwards."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join(str(w) for w in rng.integers(10_000, 99_999, n))
+    passage = prose(70)
+    texts = [prose(20 + 5 * i) + passage + prose(40) for i in range(8)] + [prose(100)] * 3 + [prose(100)]
+    rows = list(enumerate(texts)) + [(0, texts[0]), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    anchors = lambda: set(glob.glob(checkpoint_dir(spark).removeprefix("file:") + "/llm-anchors-*"))
+    before = anchors()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        report = suffix_dedup.repeat_report(docs)
+        got = report.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = brute.repeats([{"doc_id": i, "text": t} for i, t in rows])
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+    assert sum(r["n_removed"] > 0 for r in got) > 8
+    final = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert re.search(r"ReusedExchange \[[^]]*text", final)
+    assert anchors() == before
