@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.accumulators import AccumulatorParam
 
 from logweave.llm import mixing, packing, quality_rules, suffix_dedup
 from logweave.session import checkpoint_dir
@@ -13,6 +14,14 @@ from logweave.session import checkpoint_dir
 from . import brute
 
 
+class _Most(AccumulatorParam):
+    def zero(self, value):
+        return [0]
+
+    def addInPlace(self, a, b):
+        return max(a, b)
+
+
 def sequences(histogram):
     found, n_sequences = {}, 0
     for own, n in packing.plan(histogram):
@@ -87,3 +96,27 @@ def test_repeats_shuffle_the_texts_once(spark):
     final = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert re.search(r"ReusedExchange \[[^]]*text", final)
     assert anchors() == before
+
+
+@pytest.mark.parametrize("hot", [1, 2, 6, 40])
+def test_repeats_round_a_crowded_anchor(spark, hot, monkeypatch):
+    """Groups are never larger than ``hot``; rows don't depend on it."""
+    rng = np.random.default_rng(4)
+    prose = lambda n: " ".join(str(w) for w in rng.integers(10_000, 99_999, n))
+    short, middle, long = prose(25), prose(62), prose(150)  # 149, 371 and 899 bytes
+    texts = [prose(60) + passage + prose(60) for passage in (short, middle, long) for _ in range(12)]
+    texts += [long[i:i + 600] + prose(20) for i in range(0, 290, 29)] + [long[:500 - 7 * i] for i in range(12)]
+    texts += ["ab " * n + prose(n % 5 * 30) for n in range(120, 260, 11)] + [texts[3], texts[30], "x" * 1500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    sizes = spark.sparkContext.accumulator([0], _Most())
+    plain = suffix_dedup.repeats
+
+    def watched(groups, *args):
+        sizes.add([int(np.unique(groups, return_counts=True)[1].max())])
+        return plain(groups, *args)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", watched)
+    got = suffix_dedup.remove_repeats(docs, hot=hot).collect()
+    want = brute.repeats([{"doc_id": i, "text": t} for i, t in enumerate(texts)])
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], brute.sha(bytes(r["kept"]))) for r in got) == sorted(want)
+    assert (hot > 1) <= sizes.value[0] <= hot
