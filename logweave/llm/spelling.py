@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import merged, stored
 
 RUN = r"[A-Za-zÀ-ÿ]+"
 SHORTEST = 5
@@ -136,7 +136,7 @@ def near_words(words: DataFrame) -> DataFrame:
                   F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1)).alias("size"))
               .select(F.col("word").alias("a"), F.col("n").alias("n_a"), F.col("end").alias("end_a"),
                       F.explode(_keys(F.col("left"), F.col("right"), F.col("size"))).alias("key")))
-    pairs = probes.join(index, "key").where("end_a <= end_b and a <> b").where(F.levenshtein("a", "b", 1) == 1)
+    pairs = probes.join(merged(index), "key").where("end_a <= end_b and a <> b").where(F.levenshtein("a", "b", 1) == 1)
     return (pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"),
                          F.when(F.col("a") < F.col("b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
                          F.when(F.col("a") < F.col("b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct())
@@ -147,7 +147,7 @@ def roots(forms: DataFrame) -> DataFrame:
     chains = stored(forms.select("word", F.col("form").alias("root")), "roots")
     while True:
         onward = chains.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(chains.join(onward, "root", "left").select(
+        moved = stored(chains.join(merged(onward), "root", "left").select(
             "word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "roots")
         chains = moved.select("word", "root")
         if not moved.where("moved").limit(1).count():
@@ -164,12 +164,12 @@ def spelling_groups(docs: DataFrame, shortest: int = SHORTEST, least: int = LEAS
         F.negate("n_other").alias("less"), F.col("other"))).alias("_best"))
         .select("word", "n_near", F.negate("_best.less").alias("best_n"), F.col("_best.other").alias("best")))
     follows = F.col("best_n") >= ratio * F.col("n")
-    joined = words.join(best, "word", "left").select(
+    joined = words.join(merged(best), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0).cast("bigint")).alias("n_near"),
         F.when(follows, F.col("best")).alias("form"), F.when(follows, F.col("best_n")).alias("form_n"))
     joined = stored(joined, "forms")
     found = roots(joined.where("form is not null"))
-    return joined.join(found, "word", "left").select(
+    return joined.join(merged(found), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 

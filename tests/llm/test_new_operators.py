@@ -87,6 +87,29 @@ def test_pivots_are_the_rarest_disjoint_pair(spark):
         assert got[i]["cost"] == min(pairs)[0] and (got[i]["cost"], got[i]["left"], got[i]["right"]) in pairs
 
 
+def joins(monkeypatch, *modules):
+    """The joins in the plans of what the modules store from here on."""
+    seen = []
+
+    def noted(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen.extend(line.strip(" :+-*()0123456789") for line in plan.split("\n") if "Join" in line)
+        return df
+
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, *args, kept=module.stored, **kw: kept(noted(df), *args, **kw))
+    return seen, noted
+
+
+def test_no_table_that_grows_with_the_words_is_broadcast(spark, monkeypatch):
+    # small tables, so Spark would broadcast each of them
+    seen, noted = joins(monkeypatch, spelling)
+    got = spelling.spelling_groups(table(spark, "small"))
+    assert got.collect() and noted(got)
+    assert sum(j.startswith("SortMergeJoin") for j in seen) >= 4
+    assert all(j.startswith(("SortMergeJoin", "BroadcastHashJoin [gram#")) for j in seen), seen
+
+
 def fingerprint(text):
     words = brute.WORD.findall(brute.ascii_lower(text or ""))
     if not words:
