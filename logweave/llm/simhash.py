@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import bounded_broadcast
-from .common import ship, stored
+from .common import merged, ship, stored
 from .components import components
 
 ship(__name__)
@@ -96,6 +96,12 @@ def _segments(fps: DataFrame) -> DataFrame:
     return fps.select("fp", each).select("fp", "_s.segment", "_s.value")
 
 
+def _side(df: DataFrame) -> DataFrame:
+    """``df`` broadcast if it has few rows by count, else merged."""
+    side = bounded_broadcast(df)
+    return side if side._logweave_small else merged(df)
+
+
 def _flips() -> Column:
     return F.explode(_longs([0, *(1 << i for i in range(WIDTH))])).alias("mask")
 
@@ -109,7 +115,7 @@ def _fetched(probes: DataFrame, index: DataFrame) -> DataFrame:
     balls = _segments(probes).select("fp", "segment", "value", _flips()).where(
         F.col("value").bitwiseAND(F.col("mask")) == 0).select(
         F.col("fp").alias("a"), "segment", F.col("value").bitwiseOR(F.col("mask")).alias("value"), "mask")
-    pairs = balls.join(index.withColumnRenamed("fp", "b"), ["segment", "value"])
+    pairs = balls.join(merged(index.withColumnRenamed("fp", "b")), ["segment", "value"])
     return pairs.where(_close(F.col("a"), F.col("b")) & ((F.col("mask") != 0) & (F.col("a") != F.col("b"))
                                                          | (F.col("a") < F.col("b")))).select("a", "b")
 
@@ -136,9 +142,9 @@ def links(fps: DataFrame, hot: int = HOT) -> DataFrame:
     full = stored(index.groupBy("segment", "value").count().where(F.col("count") > hot).select("segment", "value"), "full")
     around = full.select("segment", "value", _flips()).select(
         "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")).distinct()
-    dense = stored(index.join(bounded_broadcast(around), ["segment", "value"], "left_semi").select("fp").distinct(), "dense")
-    sparse = stored(fps.join(dense, "fp", "left_anti"), "sparse")
-    apart = _segments(dense).join(bounded_broadcast(full), ["segment", "value"], "left_anti")
+    dense = stored(index.join(_side(around), ["segment", "value"], "left_semi").select("fp").distinct(), "dense")
+    sparse = stored(fps.join(merged(dense), "fp", "left_anti"), "sparse")
+    apart = _segments(dense).join(_side(full), ["segment", "value"], "left_anti")
     rare = _segments(sparse)
     return _fetched(sparse, rare.unionByName(apart)).union(_fetched(dense, rare)).union(_met(dense))
 
@@ -149,8 +155,9 @@ def simhash_groups(docs: DataFrame, hot: int = HOT) -> DataFrame:
     rows = stored(fingerprints(docs), "fingerprints")
     classes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     joined = stored(components(links(classes.select("fp"), hot)).withColumnRenamed("id", "fp")
-                    .join(classes, "fp"), "joined")
+                    .join(merged(classes), "fp"), "joined")
     least = joined.groupBy("component").agg(F.min("first").alias("least"))
-    of = (classes.join(joined.join(least, "component").select("fp", "least"), "fp", "left")
-          .select("fp", F.coalesce("least", "first").alias("component_id")))
-    return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # stored, so that Spark can split the last join where many rows share a fingerprint
+    of = stored(classes.join(merged(joined.join(least, "component").select("fp", "least")), "fp", "left")
+                .select("fp", F.coalesce("least", "first").alias("component_id")), "of")
+    return rows.join(merged(of), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

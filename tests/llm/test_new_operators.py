@@ -188,6 +188,21 @@ def test_links_of_a_hot_bucket_stay_linear(spark):
     assert simhash.links(fps).count() < probed
 
 
+def test_no_table_that_grows_with_the_fingerprints_is_broadcast(spark, monkeypatch):
+    # small tables, so Spark would broadcast each of them; no row is few enough to be broadcast by count
+    monkeypatch.setattr(simhash, "bounded_broadcast", lambda df, kept=simhash.bounded_broadcast: kept(df, 0))
+    seen, noted = joins(monkeypatch, simhash)
+    values = [(7 << 32) | (a << 16) | b for a in range(20) for b in range(20)] + [(a << 40) | a for a in range(1, 200)]
+    got = simhash.links(simhash.stored(spark.createDataFrame([(v,) for v in values], "fp bigint"), "fps"))
+    assert got.collect() and noted(got)
+    assert len(seen) >= 5 and all(j.startswith("SortMergeJoin") for j in seen), seen
+    got = simhash.simhash_groups(table(spark, "small"), 0)
+    assert got.collect() and noted(got)
+    # but for the least ids of the components: a row for a linked fingerprint at most, in a file of 8 bytes a row at least
+    other = [j for j in seen if not j.startswith(("SortMergeJoin", "BroadcastHashJoin [component#"))]
+    assert not other, other
+
+
 def test_vectorizers_share_the_terms(spark):
     rows = divergence.stored(divergence.tokens(table(spark, "small")), "tokens")
     one, five = (sorted(map(tuple, divergence.term_counts(rows, 3, parts).collect())) for parts in (1, 5))
